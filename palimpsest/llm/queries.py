@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup, substring_dedup
+from palimpsest.llm import line_dedup, near_dedup, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -15,6 +15,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame
     return df.select(*cols) if cols else df
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = near_dedup.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"), shingle=4)
+    return done.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents", "doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -27,6 +32,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_dedup": op2_near_dedup,
         "op7_substring_dedup": op7_substring_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
