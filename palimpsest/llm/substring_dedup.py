@@ -160,7 +160,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, period: int = 21) -> DataF
         raise ValueError("the window must be longer than the period")
     keyed = core.wrap(docs, "n_words", "n_removed")
     anchors = _repeated(keyed.select("key", "text").mapInArrow(_anchors(window, period), POSTED))
-    near = keyed.join(anchors, "key", "left").select("key", "text", "hits")
+    # the same columns as below, so that both joins read one exchange of the texts
+    near = keyed.join(anchors, "key", "left").select("row", "key", "text", "hits")
     full = _repeated(near.mapInArrow(_extended(window, period), POSTED))
     found = keyed.join(full, "key", "left").select("row", "text", "hits")
     done = found.mapInArrow(_rewrite(window), core.out_schema(found, "row", "text", n_words="bigint", n_removed="bigint"))
