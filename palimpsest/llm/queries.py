@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup, near_dedup, substring_dedup
+from palimpsest.llm import line_dedup, near_dedup, packing, quality_rules, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -15,6 +15,23 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame
     return df.select(*cols) if cols else df
 
 
+def vocabulary() -> dict[str, str]:
+    """Paths of the public vocabulary and of the same one as ranks, and the pattern that splits text before merges."""
+    import public_tokenizers
+
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents", "doc_id", "text"), **vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_rules.quality(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = near_dedup.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"), shingle=4)
     return done.select("doc_id", "n_shingles", "component_id", "kept")
@@ -32,7 +49,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
         "op2_near_dedup": op2_near_dedup,
+        "op3_quality_rules": op3_quality_rules,
         "op7_substring_dedup": op7_substring_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
