@@ -26,10 +26,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_duplicates(docs)
-    # rows that stay, by key; among rows with equal ids and different texts of one group the least key stays
-    best = groups.where("kept").groupBy("doc_id", "component_id").agg(F.min("key").alias("key")).select("key").distinct()
-    kept = core.wrap(docs).join(best, "key", "left_semi")
-    return core.unwrap(kept, docs).dropDuplicates(["doc_id", "text"])
+    best = groups.where("kept").groupBy("group").agg(F.min("key").alias("key")).select("key")
+    # repeated rows have one key; they are merged where they are read, before any shuffle
+    return core.unwrap(core.wrap(docs).dropDuplicates(["key"]).join(best, "key", "left_semi"), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

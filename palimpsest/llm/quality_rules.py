@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm import core
+from palimpsest.llm import core, weak
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_stops")
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
@@ -126,36 +126,10 @@ def votes() -> Column:
     return F.concat(*[F.expr(f"case when {bad} then '0' when {good} then '1' else '-' end") for _, bad, good in RULES])
 
 
-def fit(patterns: dict[str, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[str, float]]:
-    """EM over weighted vote patterns: prior of good, table [class, rule, vote], posterior of good by pattern.
-
-    It starts from rules that are right in 8 of 10 votes, which also fixes which class is the good one.
-    """
-    keys = sorted(patterns)
-    weight = np.array([patterns[k] for k in keys], float)
-    vote = np.array([["-01".index(c) for c in k] for k in keys], int).reshape(len(keys), -1)
-    k = vote.shape[1]
-    onehot = np.eye(3)[vote] if len(keys) else np.zeros((0, k, 3))
-    table = np.array([[[0.1, 0.8, 0.1]] * k, [[0.1, 0.1, 0.8]] * k])  # bad, good
-    prior = 0.7
-    post = np.zeros(len(keys))
-    for _ in range(rounds if len(keys) else 0):
-        like = np.einsum("prv,crv->pc", onehot, np.log(table)) + np.log([1 - prior, prior])
-        old, post = post, 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -500, 500)))
-        if np.abs(post - old).max() < 1e-10:
-            break
-        share = np.stack([weight * (1 - post), weight * post])
-        # one pseudo-vote of the starting kind for each rule and class keeps every probability above 0
-        table = np.einsum("cp,prv->crv", share, onehot) + np.array([[[0.1, 0.8, 0.1]] * k, [[0.1, 0.1, 0.8]] * k])
-        table /= table.sum(2, keepdims=True)
-        prior = float((share[1].sum() + 0.7) / (weight.sum() + 1))
-    return prior, table, dict(zip(keys, post.tolist(), strict=True))
-
-
 def _posteriors(made: DataFrame) -> DataFrame:
     """(votes, posterior): a table of at most 3 ** len(RULES) rows, whatever the corpus."""
     patterns = {r["votes"]: r["n"] for r in made.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    return made.sparkSession.createDataFrame(list(fit(patterns)[2].items()), "votes string, posterior double")
+    return made.sparkSession.createDataFrame(list(weak.fit(patterns)[2].items()), "votes string, posterior double")
 
 
 def _judged(made: DataFrame, posteriors: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, substring_dedup
+from palimpsest.llm import decontaminate, line_dedup, near_dedup, packing, pii, quality_mil, quality_rules, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -37,10 +37,28 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _of_kind(k: int) -> Callable:
+    return lambda x: x["k"] == k
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.find_pii(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return done.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.quality(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents", "doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -62,8 +80,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_near_dedup": op2_near_dedup,
         "op3_quality_rules": op3_quality_rules,
+        "op4_pii": op4_pii,
         "op5_decontamination": op5_decontamination,
+        "op6_toxicity": op6_toxicity,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_quality_classifier": op8_quality_classifier,
         "op10_line_dedup": op10_line_dedup,
         "pipeline": pipeline,
     }
