@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, line_dedup, near_dedup, packing, pii, quality_mil, quality_rules, substring_dedup, toxicity
+from palimpsest.llm import decontaminate, line_dedup, near_dedup, oracles, packing, pii, quality_mil, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -69,6 +69,38 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: A fixed list of dated events: (list, kind, value, action, day of the year from 0).
+URL_EVENTS = (
+    ("block", "domain", "spam-farm.example.org", "add", 20),
+    ("block", "domain", "spam-farm.example.org", "remove", 200),
+    ("block", "domain", "spam-farm.example.org", "add", 260),
+    ("block", "domain", "cheap-pills.example.net", "add", 0),
+    ("block", "domain", "cheap-pills.example.com", "add", 45),
+    ("allow", "host", "blog.cheap-pills.example.net", "add", 100),
+    ("allow", "host", "blog.cheap-pills.example.net", "remove", 160),
+    ("block", "domain", "casino-win.example.net", "add", 30),
+    ("block", "domain", "ads-track.example.com", "add", 10),
+    ("block", "domain", "ads-track.example.com", "remove", 300),
+    ("block", "domain", "adult-x.example.com", "add", 0),
+    ("block", "domain", "free-bets.example.net", "add", 75),
+    ("block", "domain", "example.org", "add", 340),
+    ("allow", "domain", "ththed.example.org", "add", 341),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no fetch time: page p is taken as fetched on day p mod 366 of 2024. Besides the fixed list, each host whose
+    MD5 digest begins with 0 to 3 is listed from a day that its length gives, for 90 days if the digest's second digit is
+    below 8; so the list grows with the corpus."""
+    pages = _read(spark, sf_dir, "pages", "page_id", "url").withColumn("fetched", F.expr("date_add(date'2024-01-01', cast(page_id % 366 as int))"))
+    hosts = pages.select(url_filter.host(F.col("url")).alias("value")).where("value is not null").distinct().withColumn("digest", F.md5("value")).where("substring(digest, 1, 1) < '4'")
+    hosts = hosts.withColumn("day", F.expr("date_add(date'2024-01-01', cast(length(value) * 7 % 300 as int))"))
+    added = hosts.select(F.lit("block").alias("list"), F.lit("host").alias("kind"), "value", F.lit("add").alias("action"), F.col("day").alias("at"))
+    removed = hosts.where("substring(digest, 2, 1) < '8'").select(F.lit("block").alias("list"), F.lit("host").alias("kind"), "value", F.lit("remove").alias("action"), F.date_add("day", 90).alias("at"))
+    fixed = spark.createDataFrame(list(URL_EVENTS), "list string, kind string, value string, action string, day int").select("list", "kind", "value", "action", F.expr("date_add(date'2024-01-01', day)").alias("at"))
+    return url_filter.judge(pages, fixed.unionByName(added).unionByName(removed)).select("page_id", "host", "blocked", "list", "kind", "value")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,10 +117,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_url_filter": op9_url_filter,
         "op10_line_dedup": op10_line_dedup,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_near_dedup": oracles.OP2,
+        "op7_substring_dedup": oracles.OP7,
+        "op9_url_filter": oracles.op9(URL_EVENTS),
+        "op10_line_dedup": oracles.OP10,
+    }

@@ -9,17 +9,20 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(patterns: dict[str, int], rounds: int = 200, start: float = 0.7) -> tuple[float, np.ndarray, dict[str, float]]:
+def fit(patterns: dict[str, int], rounds: int = 200, start: float = 0.7, accuracy: tuple[float, ...] | None = None) -> tuple[float, np.ndarray, dict[str, float]]:
     """EM over weighted vote patterns: prior of good, table [class, rule, vote], posterior of good by pattern.
 
-    It starts from rules that are right in 8 of 10 votes, which also fixes which class is the good one.
+    It starts from the given accuracies, 0.8 each by default, which also fixes which class is the good one.
     """
     keys = sorted(patterns)
     weight = np.array([patterns[k] for k in keys], float)
     vote = np.array([["-01".index(c) for c in k] for k in keys], int).reshape(len(keys), -1)
     k = vote.shape[1]
     onehot = np.eye(3)[vote] if len(keys) else np.zeros((0, k, 3))
-    table = np.array([[[0.1, 0.8, 0.1]] * k, [[0.1, 0.1, 0.8]] * k])  # bad, good
+    right = np.array(accuracy or (0.8,) * k)
+    wrong = (1 - right) / 2
+    begin = np.stack([np.stack([wrong, right, wrong], 1), np.stack([wrong, wrong, right], 1)])  # bad, good
+    table = begin
     prior = start
     post = np.zeros(len(keys))
     for _ in range(rounds if len(keys) else 0):
@@ -29,8 +32,8 @@ def fit(patterns: dict[str, int], rounds: int = 200, start: float = 0.7) -> tupl
             break
         share = np.stack([weight * (1 - post), weight * post])
         # one pseudo-vote of the starting kind for each rule and class keeps every probability above 0
-        table = np.einsum("cp,prv->crv", share, onehot) + np.array([[[0.1, 0.8, 0.1]] * k, [[0.1, 0.1, 0.8]] * k])
-        table /= table.sum(2, keepdims=True)
+        table = np.einsum("cp,prv->crv", share, onehot) + begin
+        table = table / table.sum(2, keepdims=True)
         prior = float((share[1].sum() + start) / (weight.sum() + 1))
     return prior, table, dict(zip(keys, post.tolist(), strict=True))
 
