@@ -12,10 +12,11 @@ Method.
 3. Prefix: with values ordered rarest first, two nodes that agree in T of M share one of their first M - T + 1. Only those
    are posted; the common ones are skipped in the merge and counted by probing the signatures. A node with fewer than T
    values that others have drops out at once.
-4. Star rounds: each posting list has a hub; every node is checked exactly against the hub that it collides with most. One
-   check a node, linear however long the list, and groups of copies melt into components.
-5. Lists that still hold several components are merged pair by pair, in blocks of bounded size, between components only;
-   pairs with T agreeing values are checked exactly. So no candidate pair is left out unless it is connected already.
+4. Star rounds: each posting list has a hub; every node is checked exactly against the two hubs that it collides with most.
+   Two checks a node, linear however long the list, and groups of copies melt into components.
+5. Lists that still hold several components are merged in blocks of bounded size, between components only: pairs with T
+   agreeing values are checked exactly where they meet, each in one list (first signatures alone, then, for the nodes that
+   have a candidate, full sets), and a link that joins two components ends their comparison. So no candidate pair is left out unless it is connected already, and a block gives fewer links than rows.
 
 Scale. Counts and minima are pre-aggregated before shuffles; joins are by key and can be split when skewed; blocks bound
 what one task holds. Texts move once, for nodes that have candidates. Intermediate tables are in the shared folder.
@@ -39,6 +40,7 @@ from palimpsest.llm import core
 M = 48
 BLOCK = 1000
 STAR_ROUNDS = 2
+HUBS = 2
 _rng = np.random.Generator(np.random.PCG64(77))
 MULTIPLY = _rng.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 FLIP = _rng.integers(1, 2**64, 256, dtype=np.uint64)
@@ -129,60 +131,97 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return core.cut(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a bigint, b bigint"))
 
 
-def _merge(m: int, need: int, percent: int) -> Callable:
-    """Rows sorted by list and block pair: pairs between components that agree in ``need`` values at least."""
-
-    def pairs(cols: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        out_a, out_b = [], []
-        left, right = np.flatnonzero(cols["side"] != 2), np.flatnonzero(cols["side"] != 1)
-        node, comp, n, sig = cols["node"], cols["comp"], cols["n"], cols["sig"]
-        step = max(1, 4_000_000 // (m * max(1, len(right))))
-        for k in range(0, len(left), step):
-            i = left[k : k + step]
-            lo, hi = np.minimum(n[i, None], n[right]), np.maximum(n[i, None], n[right])
-            ok = (comp[i, None] != comp[right]) & (100 * lo >= percent * hi)
-            if not ok.any():
+def _candidates(c: dict, need: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers i, [j...] of one block pair: other component, possible sizes, enough agreement, smallest common value here.
+
+    ``c["comp"]`` may change between steps.
+    """
+    left, right = np.flatnonzero(c["side"] != 2), np.flatnonzero(c["side"] != 1)
+    n, sig, comp, tok = c["n"], c["sig"], c["comp"], c["tok"][0]
+    itself = len(left) == len(n)  # one block with itself: each pair once
+    lower = [t[t < tok] for t in c["toks"]]
+    flat, size = np.concatenate([lower[j] for j in right]), np.array([len(lower[j]) for j in right])
+    ends = np.cumsum(size)
+    for k, i in enumerate(left):
+        at = np.arange(k + 1, len(right)) if itself else np.arange(len(right))
+        j = right[at]
+        ok = (comp[j] != comp[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        at, j = at[ok], j[ok]
+        if len(j):
+            ok = np.count_nonzero(sig[j] == sig[i], axis=1) >= need
+            at, j = at[ok], j[ok]
+        if len(j) and len(lower[i]):
+            seen = np.append(0, np.cumsum(np.isin(flat, lower[i])))
+            j = j[seen[ends[at]] == seen[ends[at] - size[at]]]
+        if len(j):
+            yield int(i), j
+
+
+def _links(c: dict, need: int, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links of a block pair, one for each two components that it joins."""
+    comp, out = c["comp"], []
+    for i, j in _candidates(c, need, percent):
+        own = c["sets"][i]
+        for lo in range(0, len(j), 256):
+            part = j[lo : lo + 256]
+            part = part[comp[part] != comp[i]]
+            if not len(part):
                 continue
-            x, y = np.nonzero(ok)
-            agree = np.count_nonzero(sig[i[x]] == sig[right[y]], axis=1) >= need
-            a, b = node[i[x[agree]]], node[right[y[agree]]]
-            out_a.append(np.minimum(a, b))
-            out_b.append(np.maximum(a, b))
-        if not out_a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(out_a), np.concatenate(out_b)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-
-        def out(cols: dict[str, np.ndarray], upto: int) -> Iterator[pa.RecordBatch]:
-            g = cols["g"][:upto]
-            cuts = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), upto) if upto else np.zeros(1, np.int64)
-            found = [pairs({k: v[x:y] for k, v in cols.items()}) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            sets = [c["sets"][x] for x in part]
+            lens = np.array([len(x) for x in sets])
+            flat = np.concatenate(sets)
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            common = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(lens) - lens)
+            for x in part[100 * common >= percent * (len(own) + lens - common)].tolist():
+                if comp[x] != comp[i]:
+                    out.append((int(c["node"][i]), int(c["node"][x])))
+                    comp[comp == comp[x]] = comp[i]
+    return out
+
+
+def _merge(m: int, need: int, percent: int, confirm: bool) -> Callable:
+    """Over rows sorted by block pair ``g``: the rows that have a candidate there, or, with full sets, the confirmed links."""
+
+    def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows < 2:
+            return
+        c = {k: rows.column(k).to_numpy().copy() for k in ("tok", "side", "node", "comp", "n")}
+        c["sig"] = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, m)
+        c["toks"] = [np.array(x, np.int64) for x in rows.column("toks").to_pylist()]
+        if confirm:
+            c["sets"] = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+            found = _links(c, need, percent)
             if found:
-                a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                if len(a):
-                    both = np.unique(np.stack([a, b], 1), axis=0)
-                    yield core.batch_of(a=pa.array(both[:, 0].copy()), b=pa.array(both[:, 1].copy()))
+                a, b = np.array(found).T
+                yield core.batch_of(a=pa.array(np.minimum(a, b)), b=pa.array(np.maximum(a, b)))
+            return
+        met = np.zeros(rows.num_rows, bool)
+        for i, j in _candidates(c, need, percent):
+            met[i] = True
+            met[j] = True
+        if met.any():
+            yield from rows.filter(pa.array(met)).combine_chunks().to_batches()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("g", "side", "node", "comp", "n")}
-            cols["sig"] = batch.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
-            if held is not None:
-                cols = {k: np.concatenate((held[k], v)) for k, v in cols.items()}
-            last = int(np.searchsorted(-(cols["g"] != cols["g"][-1]).astype(int), 0))
-            yield from out(cols, last)
-            held = {k: v[last:] for k, v in cols.items()}
-        if held is not None:
-            yield from out(held, len(held["g"]))
+            g = batch.column("g").to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and held[-1].column("g")[0].as_py() != g[lo]:
+                    yield from done(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from done(pa.Table.from_batches(held))
 
     return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = M) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id, kept) for each row; ``key`` is ``core.text_key()`` of the row."""
+    """(doc_id, key, n_shingles, component_id, group, kept) for each row; ``key`` is ``core.text_key()``, ``group`` any name."""
     need = _agreeing(m, percent)
     slim = docs.select("doc_id", core.text_key().alias("key"), "text")
     signed = core.cut(slim.mapInArrow(_signatures(shingle, m), core.out_schema(slim, "doc_id", "key", node="bigint", n="bigint", sig="array<bigint>")))
@@ -192,9 +231,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
     often = posted.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     prefix = F.expr(f"transform(slice(toks, 1, size(toks) - {need - 1}), x -> x.tok)")
     wanted = posted.join(often, "tok").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks")).where(F.size("toks") >= need).select("node", prefix.alias("toks"))
-    cands = core.cut(wanted.join(nodes, "node").select("node", "toks", "n", "key", "sig"))
+    # the low byte of each value is enough to count agreements: more of them by chance only mean more exact checks
+    brief = F.expr("unhex(array_join(transform(sig, x -> lpad(hex(x & 255), 2, '0')), ''))")
+    cands = core.cut(wanted.join(nodes, "node").select("node", "toks", "n", "key", brief.alias("brief")))
 
-    texts = slim.select("key", "text").join(cands.select("key", "node"), "key").select("node", "text")
+    # merged whatever the sizes: a plan that does not change with the input
+    texts = slim.select("key", "text").join(cands.select("key", "node").hint("merge"), "key").select("node", "text")
     sets = core.cut(texts.mapInArrow(_sets(shingle), "node bigint, shingles binary").dropDuplicates(["node"]))
     lists = cands.select("node", F.explode("toks").alias("tok"))
 
@@ -208,20 +250,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
         mixed = members.groupBy("tok").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", "tok", F.lit(turn))).alias("hub")).where("lo <> hi")
         if turn < STAR_ROUNDS:
             stars = members.join(mixed.select("tok", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("other")), "tok").where("comp <> other")
-            best = stars.groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+            met = stars.groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "hub")), asc=False).alias("hubs"))
+            best = met.select("node", F.explode(F.slice("hubs", 1, HUBS)["hub"]).alias("hub"))
             pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            more = _confirmed(pairs, sets, percent)
         else:
             blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
             spread = members.join(mixed.select("tok", blocks.alias("blocks")), "tok").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             # block pair (i, j), i <= j; side 0: both blocks are the same, 1: block i, 2: block j
-            met = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "comp", F.xxhash64("tok", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.expr("case when own = other then 0 when own < other then 1 else 2 end").alias("side"))
-            full = met.join(cands.select("node", "n", "sig"), "node").repartition(F.col("g")).sortWithinPartitions("g").select("g", "side", "node", "comp", "n", "sig")
-            pairs = full.mapInArrow(_merge(m, need, percent), "a bigint, b bigint").distinct()
-        more = _confirmed(pairs, sets, percent)
+            met = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "comp", "tok", F.xxhash64("tok", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.expr("case when own = other then 0 when own < other then 1 else 2 end").alias("side"))
+            brief = met.join(cands.select("node", "n", F.col("brief").alias("sig"), "toks"), "node").select("g", "tok", "side", "node", "comp", "n", "sig", "toks")
+            # the full sets travel only to where a node has a candidate
+            some = brief.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(_merge(m, need, percent, False), brief.schema)
+            full = some.join(sets, "node").repartition(F.col("g")).sortWithinPartitions("g").select(*brief.columns, "shingles")
+            more = core.cut(full.mapInArrow(_merge(m, need, percent, True), "a bigint, b bigint"))
         edges = more if edges is None else edges.unionByName(more)
     found = core.components(edges).withColumnRenamed("component", "comp")
     marked = signed.select("doc_id", "key", "n", "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = marked.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    alone = marked.where("comp is null").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    done = marked.where("comp is not null").join(least, "comp").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
+    alone = marked.where("comp is null").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("key").alias("group"))
+    done = marked.where("comp is not null").join(least, "comp").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", F.col("comp").alias("group"))
     return done.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
