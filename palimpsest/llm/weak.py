@@ -9,23 +9,37 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(patterns: dict[str, int], rounds: int = 200, start: float = 0.7, accuracy: tuple[float, ...] | None = None) -> tuple[float, np.ndarray, dict[str, float]]:
+def fit(patterns: dict[str, int], rounds: int = 200, start: float = 0.7, accuracy: tuple[float, ...] | None = None, false_alarm: float | None = None) -> tuple[float, np.ndarray, dict[str, float]]:
     """EM over weighted vote patterns: prior of good, table [class, rule, vote], posterior of good by pattern.
 
-    It starts from the given accuracies, 0.8 each by default, which also fixes which class is the good one.
+    It starts from the given accuracies, 0.8 each by default, which also fixes which class is the good one. ``false_alarm``
+    bounds how often a rule may be taken to vote against the good class wrongly: without it EM may call the largest set of
+    like bad texts the bad class, and the other bad ones good.
     """
+
+    def bounded(table: np.ndarray) -> np.ndarray:
+        if false_alarm is not None:
+            over = np.maximum(table[1, :, 1] - false_alarm, 0)
+            rest = table[1, :, 0] + table[1, :, 2]
+            table[1, :, 0] += over * table[1, :, 0] / rest
+            table[1, :, 2] += over * table[1, :, 2] / rest
+            table[1, :, 1] -= over
+        return table
+
     keys = sorted(patterns)
+    if not keys:
+        return start, np.zeros((2, 0, 3)), {}
     weight = np.array([patterns[k] for k in keys], float)
-    vote = np.array([["-01".index(c) for c in k] for k in keys], int).reshape(len(keys), -1)
+    vote = np.array([["-01".index(c) for c in k] for k in keys])
     k = vote.shape[1]
-    onehot = np.eye(3)[vote] if len(keys) else np.zeros((0, k, 3))
+    onehot = np.eye(3)[vote]
     right = np.array(accuracy or (0.8,) * k)
     wrong = (1 - right) / 2
     begin = np.stack([np.stack([wrong, right, wrong], 1), np.stack([wrong, wrong, right], 1)])  # bad, good
-    table = begin
+    table = bounded(begin.copy())
     prior = start
     post = np.zeros(len(keys))
-    for _ in range(rounds if len(keys) else 0):
+    for _ in range(rounds):
         like = np.einsum("prv,crv->pc", onehot, np.log(table)) + np.log([1 - prior, prior])
         old, post = post, 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -500, 500)))
         if np.abs(post - old).max() < 1e-10:
@@ -33,7 +47,7 @@ def fit(patterns: dict[str, int], rounds: int = 200, start: float = 0.7, accurac
         share = np.stack([weight * (1 - post), weight * post])
         # one pseudo-vote of the starting kind for each rule and class keeps every probability above 0
         table = np.einsum("cp,prv->crv", share, onehot) + begin
-        table = table / table.sum(2, keepdims=True)
+        table = bounded(table / table.sum(2, keepdims=True))
         prior = float((share[1].sum() + start) / (weight.sum() + 1))
     return prior, table, dict(zip(keys, post.tolist(), strict=True))
 
