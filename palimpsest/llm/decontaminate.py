@@ -8,9 +8,9 @@ does not begin a sentence or line becomes <name>. Everything else stands for its
 Match. A template window is ``window`` consecutive canonical tokens of which at least half are no placeholders (an item
 shorter than a window is one window as a whole, if it has at least ``MIN_TOKENS`` tokens). Windows of documents are
 hash-joined with those of the items. Matches of one item at one alignment (document place minus item place) and at most
-``window`` tokens apart form a run. In a run slots must be consistent: the same value in the item must stand for the same
-value in the document, and the other way round, for each kind. The longest consistent run counts; a document holds an item
-if the run covers at least ``percent`` of the item's tokens, or ``enough`` tokens.
+three windows apart form a run. In a run slots must be consistent: the same value in the item must stand for the same value
+in the document, and the other way round, for each kind; other runs do not count. A document holds an item if the tokens
+that agree in its runs make up at least ``percent`` of the item's, or ``enough``.
 
 Scale. One pass over the texts, no shuffle of them: a block of at most ``BLOCK_TOKENS`` item tokens goes to the executors
 as a broadcast of that bounded size, and the matches are settled where the document is. A larger benchmark is worked on in
@@ -150,25 +150,27 @@ def find(items: Items, texts: pa.Array, width: int, percent: int, enough: int) -
         shift = place - iplace
         order = np.lexsort((place, shift, inum, row))
         row, place, inum, iplace, wide, shift = (x[order] for x in (row, place, inum, iplace, wide, shift))
-        new = np.append(True, (row[1:] != row[:-1]) | (inum[1:] != inum[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] - place[:-1] > width))
+        # at one alignment an edit breaks some windows, not the run
+        new = np.append(True, (row[1:] != row[:-1]) | (inum[1:] != inum[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] - place[:-1] > 3 * width))
         cuts = np.append(np.flatnonzero(new), len(row))
-        best: dict[tuple[int, int], tuple] = {}
+        held: dict[tuple[int, int], list] = {}
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            p, q, i = int(place[a]), int(place[b - 1] + wide[b - 1]), int(inum[a])
-            d = int(shift[a])
+            p, q, i, d = int(place[a]), int(place[b - 1] + wide[b - 1]), int(inum[a]), int(shift[a])
             ivalue, ikind = items.value[p - d : q - d], items.kind[p - d : q - d]
             dvalue, dkind = t.value[p:q], t.kind[p:q]
-            size = int(items.at[i + 1] - items.at[i])
             slot = (ikind != WORD) & (ikind == dkind)
+            if not _consistent(ikind[slot], ivalue[slot], dvalue[slot]):
+                continue
             agree = slot | (items.template[p - d : q - d] == t.template[p:q])
-            covered = int(agree.sum())
-            if covered >= enough or 100 * covered >= percent * size:
-                if _consistent(ikind[slot], ivalue[slot], dvalue[slot]):
-                    key = (int(row[a]), i)
-                    if key not in best or best[key][1] < covered:
-                        best[key] = (p - int(t.at[row[a]]), covered, size, bool((ivalue == dvalue).all()))
-        for (r, i), (p, c, size, same) in sorted(best.items()):
-            yield lo + r, i, p, c, size, same
+            at = int(items.at[i])
+            entry = held.setdefault((int(row[a]), i), [np.zeros(int(items.at[i + 1]) - at, bool), p, True])
+            entry[0][p - d - at : q - d - at] |= agree
+            entry[1] = min(entry[1], p)
+            entry[2] &= bool((ivalue == dvalue)[agree].all())
+        for (r, i), (met, p, same) in sorted(held.items(), key=lambda x: x[0]):
+            covered = int(met.sum())
+            if covered >= enough or 100 * covered >= percent * len(met):
+                yield lo + r, i, p - int(t.at[r]), covered, len(met), same
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:

@@ -122,9 +122,13 @@ def _rewrite(width: int) -> Callable:
     return run
 
 
-def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The documents without later occurrences of windows of ``width`` lines; see the module for odd cases."""
-    keyed = core.wrap(docs, "n_lines", "n_removed")
+def dedup_lines(docs: DataFrame, width: int = 3, counts: bool = True) -> DataFrame:
+    """The documents without later occurrences of windows of ``width`` lines; see the module for odd cases.
+
+    Without ``counts`` no column is added or replaced.
+    """
+    added = ("n_lines", "n_removed") if counts else ()
+    keyed = core.wrap(docs, *added)
     slim = docs.select(core.text_key().alias("key"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(LAST))).alias("ord"), "text")
     posted = slim.mapInArrow(_windows(width), POSTED)
     group = Window.partitionBy("h")
@@ -135,4 +139,4 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
         F.collect_set(F.expr("case when sure is null and is_first then p end")).alias("kept"))
     rows = keyed.join(found, "key", "left").select("row", "text", "later", "kept")
     done = rows.mapInArrow(_rewrite(width), core.out_schema(rows, "row", "text", n_lines="bigint", n_removed="bigint"))
-    return core.unwrap(done, docs, "n_lines", "n_removed")
+    return core.unwrap(done, docs, *added)

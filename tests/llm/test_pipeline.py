@@ -71,6 +71,19 @@ def test_stages_match_brute_force(spark, folder):
     assert sums.where("n <> m").isEmpty() and sums.count() == clean.where("doc_id is not null").count()
 
 
+def test_stages_on_odd_documents(spark, folder):
+    """Nulls everywhere, repeated rows, and columns named as operators name theirs: no crash, columns as they were."""
+    docs = odd.frame(spark).withColumns({"n_removed": F.lit("mine"), "component_id": F.lit(5), "label": F.lit(None).cast("string")})
+    for frame in (docs, docs.limit(0), docs.withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes})):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, folder)
+            if name != "packing":
+                assert out.columns == frame.columns
+                assert {r["n_removed"] for r in out.collect()} <= {r["n_removed"] for r in frame.collect()}
+            else:
+                assert out.select("doc_id").distinct().count() == frame.select("doc_id").distinct().count()
+
+
 def test_run_is_all_stages(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

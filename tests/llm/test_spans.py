@@ -101,11 +101,12 @@ def test_templates(spark):
         (4, QUESTIONS[1][1].upper()),
         (5, odd.prose(65, 30) + " " + QUESTIONS[1][1].replace(" ", "***\n").lower()),
         (6, "Is this a short item of exactly seven plain words, or not?"),
+        (9, odd.prose(66, 30) + " " + " ".join(w if k not in (13, 27) else "other words here" for k, w in enumerate(QUESTIONS[1][1].split())) + " " + odd.prose(67, 5)),
         (7, None), (8, ""), (None, QUESTIONS[1][1]), (None, QUESTIONS[1][1]),
     ]
     frame = odd.frame(spark, [(*d, *odd.REST) for d in docs])
     got = sorted((str(r["doc_id"]), r["item_id"], r["verbatim"]) for r in decontaminate.leaks(frame, items).collect())
-    assert got == sorted([("0", 0, True), ("1", 0, False), ("4", 1, True), ("5", 1, True), ("6", 2, True), ("None", 1, True), ("None", 1, True)])
+    assert got == sorted([("0", 0, True), ("1", 0, False), ("4", 1, True), ("5", 1, True), ("6", 2, True), ("9", 1, True), ("None", 1, True), ("None", 1, True)])
     clean = decontaminate.keep_clean(frame, items)
     assert clean.columns == frame.columns
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == ["2", "3", "7", "8"]
