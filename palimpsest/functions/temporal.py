@@ -79,12 +79,12 @@ def encode(col: Column | str) -> Column:
 
 def decode(col: Column | str) -> Column:
     text = F.col(col) if isinstance(col, str) else col
-    parts = F.concat_ws(
-        "",
+    parts = F.concat(
         F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 2), F.lit(" "),
         F.substring(text, 9, 2), F.lit(":"), F.substring(text, 11, 2), F.lit(":"), F.substring(text, 13, 2), F.lit("."), F.substring(text, 15, 3),
     )
-    return F.when(F.rlike(text, F.lit("^[0-9]{17}$")), F.to_timestamp_ntz(parts, F.lit("yyyy-MM-dd HH:mm:ss.SSS")))
+    digits = (F.length(text) == 17) & (F.translate(text, "0123456789", "") == "")
+    return F.when(digits, parts.try_cast("timestamp_ntz"))
 
 
 def whole_millis(col: Column | str) -> Column:
