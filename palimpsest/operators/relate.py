@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.temporal import EDGE, When, as_of
+from palimpsest.functions.temporal import When, as_of
 from palimpsest.model import Entity, Relationship
 
 
@@ -77,5 +77,3 @@ def temporal_join(left: Entity, lefts: DataFrame, right: Entity, rights: DataFra
             out += [low.alias(f"common_{mine.start}"), high.alias(f"common_{mine.end}")]
     return lefts.join(named, test).select("*", *out)
 
-
-__all__ = ["EDGE", "deep_fetch", "exists", "joined", "not_exists", "related", "temporal_join"]
