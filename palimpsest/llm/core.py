@@ -6,6 +6,7 @@ text at a time, so memory does not grow with the number of documents, and only b
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -195,11 +196,26 @@ def concat_strings(parts: list[pa.Array]) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
+#: Bytes and rows that one Arrow batch holds at most; an executor has a few of them at a time, in the JVM and in each worker.
+BATCH_BYTES, BATCH_ROWS = 4_000_000, 2_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The frame, after its session's Arrow batches have been made small enough for long texts."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = conf.get(key, None)
+        if now is None or not 0 < int(re.sub(r"\D", "", now) or 0) <= most or now.startswith("-"):
+            conf.set(key, str(most))
+    return df
+
+
 def wrap(docs: DataFrame, *dropped: str) -> DataFrame:
     """(row, key, text): the other columns packed in a struct, so that no name can clash, and a key for joining back.
 
     Columns that the operator adds are named in ``dropped``: those of the input go.
     """
+    bounded_batches(docs)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *dropped)]
     return docs.select(F.struct(*rest).alias("row"), text_key().alias("key"), F.col("text").alias("text"))
 

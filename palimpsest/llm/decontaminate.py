@@ -206,7 +206,7 @@ def _scan(items, width: int, percent: int, enough: int, keep: bool) -> Callable:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, percent: int = 50, enough: int = 30) -> DataFrame:
     """(doc_id, item_id, place, covered, item_tokens, verbatim) for each document and item that it holds."""
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    slim = core.bounded_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     schema = "doc_id bigint, item_id bigint, place bigint, covered bigint, item_tokens bigint, verbatim boolean"
     out = spark.createDataFrame([], schema)
     for k, (ids, texts) in enumerate(_blocks(benchmark)):

@@ -129,7 +129,7 @@ def dedup_lines(docs: DataFrame, width: int = 3, counts: bool = True) -> DataFra
     """
     added = ("n_lines", "n_removed") if counts else ()
     keyed = core.wrap(docs, *added)
-    slim = docs.select(core.text_key().alias("key"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(LAST))).alias("ord"), "text")
+    slim = core.bounded_batches(docs).select(core.text_key().alias("key"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(LAST))).alias("ord"), "text")
     posted = slim.mapInArrow(_windows(width), POSTED)
     group = Window.partitionBy("h")
     place = F.struct("ord", "key", "p")

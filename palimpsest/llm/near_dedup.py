@@ -223,7 +223,7 @@ def _merge(m: int, need: int, percent: int, confirm: bool) -> Callable:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = M) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, group, kept) for each row; ``key`` is ``core.text_key()``, ``group`` any name."""
     need = _agreeing(m, percent)
-    slim = docs.select("doc_id", core.text_key().alias("key"), "text")
+    slim = core.bounded_batches(docs).select("doc_id", core.text_key().alias("key"), "text")
     signed = core.cut(slim.mapInArrow(_signatures(shingle, m), core.out_schema(slim, "doc_id", "key", node="bigint", n="bigint", sig="array<bigint>")))
 
     nodes = core.cut(signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("sig").alias("sig")))

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from palimpsest.llm import core
+
 SIZE = 1024
 OPEN_WINDOWS = 64
 PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -94,26 +96,32 @@ class Packer:
 
 def encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = None) -> Callable[[list[str]], list]:
     """A function from texts to lists of ids."""
+    import functools
+    import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(vocabulary)
+    @functools.cache
+    def exact():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(vocabulary)
+
     if ranks is None:
-        return lambda texts: [e.ids for e in exact.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [e.ids for e in exact().encode_batch(texts, add_special_tokens=False)]
     import base64
-    import json
 
     import tiktoken
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    special = [t["content"] for t in json.loads(exact.to_str()).get("added_tokens", [])]
+    with open(vocabulary, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f).get("added_tokens") or ()]
 
     def encode(texts: list[str]) -> list:
-        return [exact.encode(x, add_special_tokens=False).ids if unsure(x, special) else fast.encode_ordinary(x) for x in texts]
+        return [exact().encode(x, add_special_tokens=False).ids if unsure(x, special) else fast.encode_ordinary(x) for x in texts]
 
     return encode
 
@@ -176,4 +184,4 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: st
             yield out()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECES}")
+    return core.bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECES}")

@@ -33,7 +33,6 @@ def passages(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     at = core.row_spans(s, offs)
     words = np.diff(at)
     n = np.maximum(-(-words // PASSAGE), 1)
-    first = np.cumsum(n) - n
     rank = core.ranges(np.zeros(len(n), np.int64), n)  # place of the passage in its row
     lo = np.repeat(at[:-1], n) + rank * PASSAGE
     hi = np.minimum(lo + PASSAGE, np.repeat(at[1:], n))
@@ -76,7 +75,6 @@ def passages(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         chars((buf & 0xC0) == 0xC0), per_word((last == 0x2E) | (last == 0x3F)), chars(buf == 0x2C), chars(buf == 10), np.bincount(own[order][new], minlength=len(lo)) / size, per_word(before(1)), per_word(before(2)),
     )
     x[some] = np.stack(columns, 1)
-    del first
     return x, n
 
 
@@ -170,6 +168,6 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, limit: int = labelled.MAX_TRAIN, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, held_out, limit))
-    slim = docs.select("doc_id", "text")
+    slim = core.bounded_batches(docs).select("doc_id", "text")
     scored = slim.mapInArrow(_score(model), core.out_schema(slim, "doc_id", score="double"))
     return scored.select("doc_id", F.coalesce(labelled.fold(modulus) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

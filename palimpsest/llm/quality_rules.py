@@ -117,10 +117,17 @@ def _shared(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [figures(buf, offs) for _, _, buf, offs in core.chunks(batch.column("text"))]
-        yield core.batch_of(**{c: batch.column(c) for c in batch.schema.names if c != "text"}, **{k: pa.array(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]).astype(np.int64)) for k in FIGURES})
+def _figures(keep_text: bool = False) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _with_figures(batch, keep_text)
+
+    return run
+
+
+def _with_figures(batch: pa.RecordBatch, keep_text: bool) -> pa.RecordBatch:
+    parts = [figures(buf, offs) for _, _, buf, offs in core.chunks(batch.column("text"))]
+    return core.batch_of(**{c: batch.column(c) for c in batch.schema.names if c != "text" or keep_text}, **{k: pa.array(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]).astype(np.int64)) for k in FIGURES})
 
 
 def votes() -> Column:
@@ -142,15 +149,15 @@ def _judged(made: DataFrame, posteriors: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without ``text``, with the figures, base_failed, posterior and kept."""
     keyed = core.wrap(docs, *ADDED)
-    figured = keyed.mapInArrow(_figures, core.out_schema(keyed, "row", "key", **{c: "bigint" for c in FIGURES}))
+    figured = keyed.mapInArrow(_figures(), core.out_schema(keyed, "row", "key", **{c: "bigint" for c in FIGURES}))
     made = core.cut(figured.withColumn("votes", votes()).drop("key"))
     return core.unwrap(_judged(made, _posteriors(made)), docs, *ADDED, text=False)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. Two passes over the texts, which are never shuffled."""
-    slim = docs.select(F.lit(0).alias("row"), "text")
-    counted = slim.mapInArrow(_figures, core.out_schema(slim, "row", **{c: "bigint" for c in FIGURES})).withColumn("votes", votes())
-    keyed = core.wrap(docs).withColumn("body", F.col("text"))
-    made = keyed.mapInArrow(_figures, core.out_schema(keyed, "row", "key", "body", **{c: "bigint" for c in FIGURES})).withColumn("votes", votes())
-    return core.unwrap(_judged(made, _posteriors(counted)).where("kept").withColumnRenamed("body", "text"), docs)
+    slim = core.bounded_batches(docs).select(F.lit(0).alias("row"), "text")
+    counted = slim.mapInArrow(_figures(), core.out_schema(slim, "row", **{c: "bigint" for c in FIGURES})).withColumn("votes", votes())
+    keyed = core.wrap(docs)
+    made = keyed.mapInArrow(_figures(keep_text=True), core.out_schema(keyed, *keyed.columns, **{c: "bigint" for c in FIGURES})).withColumn("votes", votes())
+    return core.unwrap(_judged(made, _posteriors(counted)).where("kept"), docs)

@@ -120,6 +120,6 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, limit: int = labelled.MAX_TRAIN, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, held_out, limit))
-    slim = docs.select("doc_id", "text")
+    slim = core.bounded_batches(docs).select("doc_id", "text")
     scored = slim.mapInArrow(_score(model, BITS), core.out_schema(slim, "doc_id", score="double"))
     return scored.select("doc_id", F.coalesce(labelled.fold(modulus) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
