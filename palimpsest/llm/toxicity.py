@@ -6,7 +6,7 @@ every pair of neighbours, every pair with one token between them (skip-gram), an
 
 Training is online, document by document in a fixed order, with a learning rate of its own for each place and L1 shrinkage;
 most weights stay exactly zero, so the model is a short list of places and weights, at most ``1 << bits``, whatever the
-corpus. It is fitted on a bounded sample (``labelled.MAX_TRAIN``) and broadcast; scoring is one pass without a shuffle.
+corpus. The bias is set so that the decision threshold is the best cut on examples held out in turn. It is fitted on a bounded sample (``labelled.MAX_TRAIN``) and broadcast; scoring is one pass without a shuffle.
 
 Defined results. Null or empty text: the score of the bias alone. No usable label: the bias of half a document of each
 class, score 0.5. Repeated rows get equal scores. Null ids are scored, held_out false. Whole texts are scored.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import core, labelled
 
-BITS, ALPHA, BETA, L1, L2, EPOCHS = 20, 1.0, 1.0, 3.0, 0.1, 6
+BITS, ALPHA, BETA, L1, L2, EPOCHS, THRESHOLD = 20, 1.0, 1.0, 3.0, 0.1, 6, 0.7
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _KIND = core.mix(np.arange(10, 16, dtype=np.uint64))
@@ -64,34 +64,67 @@ def _encode(bits: int) -> Callable:
     return run
 
 
-def train(batches: list[pa.RecordBatch], bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS) -> tuple[float, np.ndarray, np.ndarray]:
-    """(bias, places, weights) by FTRL-proximal; the bias is not shrunk."""
-    examples = []
+def _examples(batches: list[pa.RecordBatch]) -> list[tuple]:
+    """(rank, label, places) in a fixed order."""
+    out = []
     for b in batches:
         offs, flat = b.column("places").offsets.to_numpy(), b.column("places").values.to_numpy()
         for i, (rank, y) in enumerate(zip(b.column("rank").to_pylist(), b.column("y").to_pylist(), strict=True)):
-            examples.append((rank, y, flat[offs[i] : offs[i + 1]]))
-    examples.sort(key=lambda x: (x[0], x[1], len(x[2])))
-    good = sum(y for _, y, _ in examples)
-    start = float(np.log((good + 0.5) / (len(examples) - good + 0.5)))
-    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    shift, seen = start, 1.0
+            out.append((rank, y, flat[offs[i] : offs[i + 1]]))
+    out.sort(key=lambda x: (x[0], x[1], len(x[2])))
+    return out
+
 
-    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
+def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
+
+def _ftrl(examples: list[tuple], bits: int, epochs: int) -> tuple[float, np.ndarray]:
+    """Bias (not shrunk) and weights by place."""
+    good = sum(y for _, y, _ in examples)
+    shift, seen = float(np.log((good + 0.5) / (len(examples) - good + 0.5))), 1.0
+    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     for _ in range(epochs):
         for _, y, at in examples:
             zi, ni = z[at], n[at]
-            w = weights(zi, ni)
+            w = _weights(zi, ni)
             g = 1 / (1 + np.exp(-np.clip(shift + w.sum(), -35, 35))) - y
-            z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
+            z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[at] = ni + g * g
             seen += g * g
-            shift -= alpha * g / np.sqrt(seen)
-    w = weights(z, n)
+            shift -= ALPHA * g / np.sqrt(seen)
+    return shift, _weights(z, n)
+
+
+def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The cut between two neighbouring logits that gives the best F1; of equally good ones that in the widest gap."""
+    order = np.argsort(-logits, kind="stable")
+    v, y = logits[order], labels[order]
+    f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
+    gap = v - np.append(v[1:], v[-1] - 1)
+    f1[gap <= 0] = -1
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    k = best[np.argmax(gap[best])]
+    return float(v[k] - gap[k] / 2)
+
+
+def train(batches: list[pa.RecordBatch], bits: int = BITS, epochs: int = EPOCHS, threshold: float = THRESHOLD) -> tuple[float, np.ndarray, np.ndarray]:
+    """(bias, places, weights) by FTRL-proximal.
+
+    The weights are of all examples. The bias is set so that the score ``threshold`` is the cut that is best on examples that
+    a model has not seen: each half is scored by a model of the other half.
+    """
+    examples = _examples(batches)
+    shift, w = _ftrl(examples, bits, epochs)
+    logits = np.zeros(len(examples))
+    for half in (0, 1):
+        own, weights = _ftrl(examples[1 - half :: 2], bits, epochs)
+        logits[half::2] = [own + weights[at].sum() for _, _, at in examples[half::2]]
+    labels = np.array([y for _, y, _ in examples])
+    if 0 < labels.sum() < len(labels):
+        shift += float(np.log(threshold / (1 - threshold))) - best_cut(logits, labels)
     on = np.flatnonzero(w)
-    return float(shift), on, w[on].astype(np.float32)
+    return shift, on, w[on].astype(np.float32)
 
 
 def _score(model, bits: int) -> Callable:
@@ -112,14 +145,14 @@ def _score(model, bits: int) -> Callable:
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, limit: int = labelled.MAX_TRAIN, bits: int = BITS) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, limit: int = labelled.MAX_TRAIN, bits: int = BITS, threshold: float = THRESHOLD) -> tuple[float, np.ndarray, np.ndarray]:
     examples = labelled.sample(docs, labels, "toxic", modulus, held_out, limit).mapInArrow(_encode(bits), "rank bigint, y int, places array<int>")
-    return labelled.fit_in_one_task(examples, lambda batches: train(batches, bits))
+    return labelled.fit_in_one_task(examples, lambda batches: train(batches, bits, threshold=threshold))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, limit: int = labelled.MAX_TRAIN, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, limit: int = labelled.MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, held_out, limit))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, held_out, limit, threshold=threshold))
     slim = core.bounded_batches(docs).select("doc_id", "text")
     scored = slim.mapInArrow(_score(model, BITS), core.out_schema(slim, "doc_id", score="double"))
     return scored.select("doc_id", F.coalesce(labelled.fold(modulus) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
