@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages, each a function of (spark, docs, sf_dir), written as Parquet and read again by the next.
 
-Quality rules drop the documents that they reject; line deduplication rewrites texts; near-duplicate grouping keeps one
+Quality rules drop the documents that they reject; line deduplication rewrites texts, removing every line that a later
+occurrence of a window covers; near-duplicate grouping keeps one
 document of each group (the one with the smallest doc_id, repeated rows of it once); benchmark decontamination drops the
 documents that hold a benchmark item; packing cuts the rest into sequences. Rows with a null doc_id pass like others, but
 of a near-duplicate group only a row with the smallest non-null doc_id stays, or one row if all are null.
@@ -20,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = line_dedup.dedup_lines(docs, counts=False)
+    clean = line_dedup.dedup_lines(docs, counts=False, spare=False)
     return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 

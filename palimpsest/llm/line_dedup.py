@@ -2,8 +2,9 @@
 
 The lines of a text are its \\n-split parts that hold a word; blank lines belong to no window and stay. A window is
 ``width`` (three) consecutive such lines, compared byte for byte by a 64-bit hash. The first occurrence of a window in the
-corpus, by doc_id (null last) and place, stays; the lines covered by later ones go, overlapping windows merged. Lines of the
-first occurrence of a repeated window stay even where a later window laps over them, so every repeated passage is kept once.
+corpus, by doc_id (null last) and place, stays; the lines covered by later ones go, overlapping windows merged. With ``spare``
+(the rule of the SQL of op10) lines of the first occurrence of a repeated window stay even where a later window laps over them;
+without it (the pipeline) every covered line goes. Either way an equal line stays at an earlier place.
 
 Scale. Within a block of a partition all but the first occurrence of a window are settled at once and the first alone is
 posted, with a flag, so that a line held by a third of all documents costs one row a block. Text moves once, by document.
@@ -96,7 +97,7 @@ def _cover(n: int, at: np.ndarray, places: pa.ListArray, width: int) -> np.ndarr
     return np.cumsum(mark[:-1]) > 0
 
 
-def _rewrite(width: int) -> Callable:
+def _rewrite(width: int, spare: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             later, kept = batch.column("later").fill_null([]), batch.column("kept").fill_null([])
@@ -107,7 +108,9 @@ def _rewrite(width: int) -> Callable:
                 rows = np.append(0, np.cumsum(n))
                 at = np.append(0, np.cumsum(on))[rows]
                 out = np.zeros(len(s), bool)
-                out[on] = _cover(int(on.sum()), at, later.slice(lo, hi - lo), width) & ~_cover(int(on.sum()), at, kept.slice(lo, hi - lo), width)
+                out[on] = _cover(int(on.sum()), at, later.slice(lo, hi - lo), width)
+                if spare:
+                    out[on] &= ~_cover(int(on.sum()), at, kept.slice(lo, hi - lo), width)
                 total = np.append(0, np.cumsum(out))
                 g = total[rows[1:]] - total[rows[:-1]]
                 texts.append(core.join_spans(buf, s[~out], e[~out], n - g, 0x0A))
@@ -122,7 +125,7 @@ def _rewrite(width: int) -> Callable:
     return run
 
 
-def dedup_lines(docs: DataFrame, width: int = 3, counts: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, width: int = 3, counts: bool = True, spare: bool = True) -> DataFrame:
     """The documents without later occurrences of windows of ``width`` lines; see the module for odd cases.
 
     Without ``counts`` no column is added or replaced.
@@ -138,5 +141,5 @@ def dedup_lines(docs: DataFrame, width: int = 3, counts: bool = True) -> DataFra
         F.concat(F.collect_set(F.expr("case when sure is null and not is_first then p end")), F.flatten(F.collect_list("sure"))).alias("later"),
         F.collect_set(F.expr("case when sure is null and is_first then p end")).alias("kept"))
     rows = keyed.join(found, "key", "left").select("row", "text", "later", "kept")
-    done = rows.mapInArrow(_rewrite(width), core.out_schema(rows, "row", "text", n_lines="bigint", n_removed="bigint"))
+    done = rows.mapInArrow(_rewrite(width, spare), core.out_schema(rows, "row", "text", n_lines="bigint", n_removed="bigint"))
     return core.unwrap(done, docs, *added)

@@ -74,6 +74,41 @@ def test_lines_match_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def uncovered_lines(docs: list[tuple[int, str]], width: int) -> dict[int, tuple[int, int, str]]:
+    """(lines, removed, kept text) by id, every line under a later occurrence removed."""
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        lines = text.split("\n")
+        own, gone = [k for k, x in enumerate(lines) if x.encode().split()], set()
+        for j in range(len(own) - width + 1):
+            at = own[j : j + width]
+            w = tuple(lines[k] for k in at)
+            if w in seen:
+                gone |= set(at)
+            seen.add(w)
+        out[i] = (len(own), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def test_every_line_under_a_later_window_goes(spark, monkeypatch):
+    """A passage goes from the first document of a group of copies too, and so does the pipeline's stage."""
+    import corpus_pipeline
+
+    passage = "\n".join(odd.prose(900 + i, 8) for i in range(4))
+    copied = "\n".join([odd.prose(910, 8), odd.prose(911, 8), passage, odd.prose(912, 8), odd.prose(913, 8)])
+    rows = [r for r in odd.documents() if r[0] is not None and r[1] is not None and r[0] not in (1, 7)]
+    rows += [(100, passage, *odd.REST), (101, copied, *odd.REST), (102, copied, *odd.REST)]
+    texts = [(r[0], r[1]) for r in rows]
+    want = uncovered_lines(texts, 3)
+    assert want[101][1] == 4 and odd.deduped_lines(texts, 3)[101][1] == 0
+    for block in (2_000_000, 2):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(odd.frame(spark, rows), spare=False).collect()}
+        assert got == want
+    staged = corpus_pipeline.line_stage(spark, odd.frame(spark, rows), "")
+    assert {r["doc_id"]: r["text"] for r in staged.collect()} == {i: t for i, (_, _, t) in want.items()}
+
+
 def test_lines_of_odd_documents(spark):
     got = line_dedup.dedup_lines(odd.frame(spark)).collect()
     assert len(got) == len(odd.documents())
