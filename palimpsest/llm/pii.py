@@ -8,12 +8,13 @@ inside a run that has failed.
 Method. Candidates are the base matches, those that fail the check of their kind, and looser forms: emails with a written
 "at", phone numbers without a plus sign, IPv6 addresses. Labelers vote on each: the strict pattern, the check, a gazetteer
 (common endings of domains, first digits of card issuers, and so on), words before the span that speak for its kind, and
-words that speak against it. For each kind EM estimates the reliability of each labeler from the counts of vote patterns,
+words that speak against it. The first two do not apply to looser forms, which fail both by construction, and say nothing of
+them (? in a pattern of votes). For each kind EM estimates the reliability of each labeler from the counts of vote patterns,
 and a logistic classifier over the votes is trained on the posteriors. A candidate that overlaps no base span and to which the
 classifier gives at least ``threshold`` is added; base spans stay whatever the votes.
 
 Scale. One pass over the texts, no shuffle of them; the spans are written to the shared folder, vote patterns (at most
-4 * 3^5) are counted and fitted on the driver, and the decision returns as a literal of that size.
+4 * (3^5 + 3^3)) are counted and fitted on the driver, and the decision returns as a literal of that size.
 
 Positions are code points, end exclusive. Defined results. Null or empty text: no spans, the digest of the empty string.
 Repeated rows are judged each. Null ids are carried. Very long texts are matched whole. Empty table: no rows.
@@ -113,16 +114,19 @@ def _passes(kind: str, m: Column) -> Column:
 ACCURACY = (0.8, 0.95, 0.7, 0.9, 0.9)
 
 
-def _votes(kind: str, m: Column, b: Column, strict: bool, passed: Column) -> Column:
-    """A character a labeler: strict pattern (for cards, groups of digits), check, gazetteer, words for, words against."""
+def _votes(kind: str, m: Column, b: Column, passed: Column | None) -> Column:
+    """A character a labeler: strict pattern (for cards, groups of digits), check, gazetteer, words for, words against.
+
+    Looser forms have no ``passed``.
+    """
     before = F.lower(b)
     if kind == "card":
         form = F.when(F.rlike(m, F.lit(r"^[0-9]{4}([\x20-])[0-9]{4,6}\1[0-9]{4,5}")), "1").otherwise("-")
     else:
-        form = F.lit("1" if strict else "0")
+        form = F.lit("?" if passed is None else "1")
     return F.concat(
         form,
-        F.when(passed, "1").otherwise("0"),
+        F.lit("?") if passed is None else F.when(passed, "1").otherwise("0"),
         F.when(F.rlike(m, F.lit(GAZETTEER[kind])), "1").otherwise("0"),
         F.when(F.rlike(before, F.lit(FOR[kind])), "1").otherwise("-"),
         F.when(F.rlike(before, F.lit(AGAINST)), "0").otherwise("-"),
@@ -134,8 +138,8 @@ def _candidates(text: Column, kind: str) -> Column:
     k = F.lit(KINDS.index(kind))
 
     def judged(x: Column, strict: bool) -> Column:
-        passed = _passes(kind, x["m"]) if strict else F.lit(False)
-        return F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e"), (passed if strict else F.lit(False)).alias("base"), _votes(kind, x["m"], x["b"], strict, passed).alias("votes"))
+        passed = _passes(kind, x["m"]) if strict else None
+        return F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e"), (passed if strict else F.lit(False)).alias("base"), _votes(kind, x["m"], x["b"], passed).alias("votes"))
 
     found = _guarded(text, NEEDED.get(kind), _matches(text, BASE[kind]))
     if kind == "card":

@@ -1,7 +1,8 @@
 """Weak supervision on counted vote patterns: expectation-maximisation, and a classifier trained on its posteriors.
 
-A pattern is a string with a character for each rule: 1 votes for the class, 0 against it, - abstains. There are at most
-3 ** rules patterns, so all of this runs on the driver on bounded input.
+A pattern is a string with a character for each rule: 1 votes for the class, 0 against it, - abstains, which is a vote like
+others, and ? means that the rule does not apply, which says nothing. There are at most 4 ** rules patterns, so all of this
+runs on the driver on bounded input.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ def fit(patterns: dict[str, int], rounds: int = 200, start: float = 0.7, accurac
     if not keys:
         return start, np.zeros((2, 0, 3)), {}
     weight = np.array([patterns[k] for k in keys], float)
-    vote = np.array([["-01".index(c) for c in k] for k in keys])
+    vote = np.array([["-01?".index(c) for c in k] for k in keys])
     k = vote.shape[1]
-    onehot = np.eye(3)[vote]
+    onehot = np.eye(4)[vote][:, :, :3]
     right = np.array(accuracy or (0.8,) * k)
     wrong = (1 - right) / 2
     begin = np.stack([np.stack([wrong, right, wrong], 1), np.stack([wrong, wrong, right], 1)])  # bad, good
@@ -57,8 +58,8 @@ def classifier(patterns: dict[str, int], posterior: dict[str, float], rounds: in
     keys = sorted(patterns)
     if not keys:
         return {}
-    vote = np.array([["-01".index(c) for c in k] for k in keys])
-    x = np.concatenate([np.ones((len(keys), 1)), np.eye(3)[vote][:, :, 1:].reshape(len(keys), -1)], 1)
+    vote = np.array([["-01?".index(c) for c in k] for k in keys])
+    x = np.concatenate([np.ones((len(keys), 1)), np.eye(4)[vote][:, :, 1:3].reshape(len(keys), -1)], 1)
     weight, y = np.array([patterns[k] for k in keys], float), np.array([posterior[k] for k in keys])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):

@@ -75,6 +75,25 @@ def test_the_method_adds_spans(spark):
     assert pii.find_pii(odd.frame(spark, [])).collect() == []
 
 
+def test_looser_forms_are_added(spark):
+    """Written-out emails, phones without a plus sign and IPv6 addresses that words speak for; not those that words speak against."""
+    rng = random.Random(4)
+    rows = [(i, f"{odd.prose(i, 20)} please email user{i}@mail{rng.randrange(9)}.com or call +1 (4{i % 90 + 10}) 555-{rng.randrange(1000, 9999)} or connect to host 10.0.{i}.{i % 7}", *odd.REST) for i in range(200)]
+    rows += [(200 + i, f"{odd.prose(i, 20)} version 1.2.{i}.{300 + i}", *odd.REST) for i in range(40)]
+    forms = [f"email: name{i} (at) host.com" for i in range(80)], [f"phone 415-555-{1000 + i}" for i in range(60)], [f"server 2001:db8:1:2:3:4:5:{i:x}" for i in range(60)]
+    against = [f"total 415 555 {1000 + i}" for i in range(40)]
+    rows += [(500 + i, f"{odd.prose(i, 20)} {x} {odd.prose(i, 5)}", *odd.REST) for i, x in enumerate(sum(forms, []))]
+    rows += [(900 + i, f"{odd.prose(i, 20)} {x}", *odd.REST) for i, x in enumerate(against)]
+    got = {r["doc_id"]: r for r in pii.find_pii(odd.frame(spark, rows)).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    for i, x in enumerate(sum(forms, [])):
+        span = x.split(" ", 1)[1]
+        k = pii.KINDS.index("email" if i < 80 else "phone" if i < 140 else "ip")
+        start = texts[500 + i].index(span)
+        assert got[500 + i]["base"] == [] and [tuple(s) for s in got[500 + i]["spans"]] == [(start, k, start + len(span))]
+    assert all(got[i]["spans"] == [] for i in [*range(200, 240), *range(900, 940)])
+
+
 def test_plan_has_no_python(spark):
     parts = odd.frame(spark).select(*[pii._candidates(F.coalesce("text", F.lit("")), k).alias(k) for k in pii.KINDS])
     plan = parts._jdf.queryExecution().executedPlan().toString()
