@@ -1,0 +1,29 @@
+"""Queries over whole tables, against their SQL where customers lie beyond the bounds of the queries by range."""
+
+from __future__ import annotations
+
+import pytest
+
+from palimpsest import queries as registered
+
+registered.load()
+TABLES = ("orders", "lineitem")
+
+
+def same_as_sql(spark, folder: str, name: str) -> set[tuple]:
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for table in TABLES:
+        con.sql(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    want = con.sql(registered.ORACLES[name])
+    order = sorted(want.columns)
+    got = registered.QUERIES[name](spark, folder)
+    assert sorted(got.columns) == order
+    rows = [tuple(r[c] for c in order) for r in got.collect()]
+    assert sorted(map(repr, rows)) == sorted(repr(tuple(r[want.columns.index(c)] for c in order)) for r in want.fetchall())
+    return set(rows)
+
+
+def test_temporal_join_of_all_customers(spark, small):
+    part = same_as_sql(spark, small, "temporal_join")
+    assert part < same_as_sql(spark, small, "temporal_join_whole")
