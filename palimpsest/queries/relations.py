@@ -31,11 +31,21 @@ def rel_one_to_many(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_custkey", "value", F.col("child_l_orderkey").alias("l_orderkey"), F.col("child_l_linenumber").alias("l_linenumber"))
 
 
+def _of_lines(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
+    out = relate.joined(LINE.relationship("belief"), as_of(lines, LINE, B, P), BELIEF, director.fold(BELIEF, log_of(spark, d, "updates")), B, P)
+    return out.select("l_orderkey", "l_linenumber", "o_custkey", F.col("child_value").alias("value"))
+
+
 @query("rel_many_to_one", f"{_BOTH} SELECT l_orderkey, l_linenumber, o_custkey, value FROM lines JOIN parents USING (o_custkey) WHERE o_custkey < 200")
 def rel_many_to_one(spark: SparkSession, d: str) -> DataFrame:
-    lines = as_of(belief_line(spark, d).where("o_custkey < 200"), LINE, B, P)
-    out = relate.joined(LINE.relationship("belief"), lines, BELIEF, director.fold(BELIEF, log_of(spark, d, "updates")), B, P)
-    return out.select("l_orderkey", "l_linenumber", "o_custkey", F.col("child_value").alias("value"))
+    """The parents of the lines of a range of customers."""
+    return _of_lines(spark, d, belief_line(spark, d).where("o_custkey < 200"))
+
+
+@query("rel_many_to_one_whole", f"{_BOTH} SELECT l_orderkey, l_linenumber, o_custkey, value FROM lines JOIN parents USING (o_custkey)")
+def rel_many_to_one_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The parents of all lines."""
+    return _of_lines(spark, d, belief_line(spark, d))
 
 
 @query("deep_fetch_one", f"{_BOTH} SELECT o_custkey, CAST(count(l_orderkey) AS BIGINT) AS n, CAST(coalesce(sum(l_orderkey), 0) AS BIGINT) AS keys FROM parents LEFT JOIN lines USING (o_custkey) GROUP BY o_custkey")

@@ -27,3 +27,8 @@ def same_as_sql(spark, folder: str, name: str) -> set[tuple]:
 def test_temporal_join_of_all_customers(spark, small):
     part = same_as_sql(spark, small, "temporal_join")
     assert part < same_as_sql(spark, small, "temporal_join_whole")
+
+
+def test_parents_of_all_lines(spark, small):
+    part = same_as_sql(spark, small, "rel_many_to_one")
+    assert part < same_as_sql(spark, small, "rel_many_to_one_whole")
