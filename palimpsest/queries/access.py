@@ -128,6 +128,22 @@ def write_delete(spark: SparkSession, d: str) -> DataFrame:
     return W.delete(ORDERS, rows, prior, quietly=True).select("o_orderkey")
 
 
+@query("write_update_whole", "SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def write_update_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The write on the whole table."""
+    rows = table(spark, d, "orders")
+    prior = rows.where("o_orderkey % 100 = 0")
+    return W.update(ORDERS, rows, prior, prior.withColumn("o_orderstatus", F.lit("X"))).select("o_orderkey", "o_orderstatus")
+
+
+@query("write_delete_whole", "SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 50 = 0 AND o_orderkey % 100 <> 0)")
+def write_delete_whole(spark: SparkSession, d: str) -> DataFrame:
+    """A quiet batch delete from the whole table."""
+    rows = table(spark, d, "orders")
+    prior = rows.where("o_orderkey % 50 = 0").withColumn("o_custkey", F.expr("case when o_orderkey % 100 = 0 then o_custkey + 1 else o_custkey end"))
+    return W.delete(ORDERS, rows, prior, quietly=True).select("o_orderkey")
+
+
 @query("write_purge", f"WITH {USER_STATE} SELECT user_id, event_id FROM user_state WHERE user_id % 3 <> 0")
 def write_purge(spark: SparkSession, d: str) -> DataFrame:
     rows = user_state(spark, d)

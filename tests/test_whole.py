@@ -32,3 +32,9 @@ def test_temporal_join_of_all_customers(spark, small):
 def test_parents_of_all_lines(spark, small):
     part = same_as_sql(spark, small, "rel_many_to_one")
     assert part < same_as_sql(spark, small, "rel_many_to_one_whole")
+
+
+@pytest.mark.parametrize("name", ["write_update", "write_delete"])
+def test_writes_to_whole_tables(spark, small, name):
+    part = same_as_sql(spark, small, name)
+    assert part < same_as_sql(spark, small, f"{name}_whole")
