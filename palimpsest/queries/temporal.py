@@ -76,6 +76,12 @@ def history_edge_points(spark: SparkSession, d: str) -> DataFrame:
     return f.where(f.user_id.lt(20)).find().select("user_id", "event_id", encode("IN_Z").alias("since"), encode("OUT_Z").alias("until"))
 
 
+@query("history_edge_points_whole", f"WITH {USER_STATE} SELECT user_id, event_id, strftime(IN_Z, {TEXT}) AS since, strftime(OUT_Z, {TEXT}) AS until FROM user_state")
+def history_edge_points_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every physical rectangle of all users."""
+    return Finder(STATE, user_state(spark, d)).edge_points().find().select("user_id", "event_id", encode("IN_Z").alias("since"), encode("OUT_Z").alias("until"))
+
+
 @query("zero_length_invisible", f"WITH {CUST_PRIORITY} SELECT count(*) AS all_rows, count(*) FILTER (WHERE FROM_Z = THRU_Z) AS zero_length, count(*) FILTER (WHERE FROM_Z = THRU_Z AND FROM_Z <= {_B} AND THRU_Z > {_B}) AS seen FROM cust_priority")
 def zero_length_invisible(spark: SparkSession, d: str) -> DataFrame:
     """Rows of zero length are among the edge points and in no as-of answer."""
@@ -92,6 +98,15 @@ def history_ordered(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("version", F.row_number().over(Window.partitionBy("o_custkey").orderBy("FROM_Z", "o_orderkey")).cast("bigint")).select("o_custkey", "o_orderkey", "version")
 
 
+@query("history_ordered_whole", f"WITH {CUST_PRIORITY} SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY FROM_Z, o_orderkey) AS version FROM cust_priority")
+def history_ordered_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The versions of all customers."""
+    from pyspark.sql import Window
+
+    rows = Finder(PRIORITY, cust_priority(spark, d)).edge_points().find()
+    return rows.withColumn("version", F.row_number().over(Window.partitionBy("o_custkey").orderBy("FROM_Z", "o_orderkey")).cast("bigint")).select("o_custkey", "o_orderkey", "version")
+
+
 _THEN, _NOW = "TIMESTAMP '1998-07-01'", INF
 
 

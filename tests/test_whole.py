@@ -7,7 +7,7 @@ import pytest
 from palimpsest import queries as registered
 
 registered.load()
-TABLES = ("orders", "lineitem")
+TABLES = ("orders", "lineitem", "events")
 
 
 def same_as_sql(spark, folder: str, name: str) -> set[tuple]:
@@ -38,3 +38,9 @@ def test_parents_of_all_lines(spark, small):
 def test_writes_to_whole_tables(spark, small, name):
     part = same_as_sql(spark, small, name)
     assert part < same_as_sql(spark, small, f"{name}_whole")
+
+
+@pytest.mark.parametrize("name", ["history_ordered", "compute_function", "history_edge_points"])
+def test_histories_and_functions_of_all_rows(spark, small, name):
+    part = same_as_sql(spark, small, name)
+    assert part < same_as_sql(spark, small, f"{name}_whole")
