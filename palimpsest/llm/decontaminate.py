@@ -7,7 +7,9 @@ does not begin a sentence or line becomes <name>. Everything else stands for its
 
 Match. A template window is ``window`` consecutive canonical tokens of which at least half are no placeholders (an item
 shorter than a window is one window as a whole, if it has at least ``MIN_TOKENS`` tokens). Windows of documents are
-hash-joined with those of the items. Matches of one item at one alignment (document place minus item place) and at most
+hash-joined with those of the items. Windows of items with fewer words, and items below ``MIN_TOKENS`` as a whole, are joined
+with all windows of documents by the tokens themselves, placeholders not put in; their matches form runs of their own, in
+which only equal tokens agree. So an item of one token is held by every document with that token. Matches of one item at one alignment (document place minus item place) and at most
 three windows apart form a run. In a run slots must be consistent: the same value in the item must stand for the same value
 in the document, and the other way round, for each kind; other runs do not count. A document holds an item if the tokens
 that agree in its runs make up at least ``percent`` of the item's, or ``enough``.
@@ -90,17 +92,24 @@ class Tokens:
         for k in (NUM, UNIT, NAME):
             self.template[kind == k] = _PLACE[k - 1]
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, place of the first token, and hash of each window that has enough words of its own."""
+    def worded(self, idx: np.ndarray, width: int) -> np.ndarray:
+        """Flags of the windows at these places that have enough words of their own."""
+        plain = np.append(0, np.cumsum(self.kind == WORD))
+        return 2 * (plain[idx + width] - plain[idx]) >= width
+
+    def windows(self, width: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place of the first token, and hash of each window: templates with enough words, or tokens themselves, of all."""
         n = np.maximum(np.diff(self.at) - width + 1, 0)
         idx = core.ranges(self.at[:-1], n)
-        plain = np.append(0, np.cumsum(self.kind == WORD))
-        ok = 2 * (plain[idx + width] - plain[idx]) >= width
-        return np.repeat(np.arange(len(n)), n)[ok], idx[ok], core.windows(self.template, width)[idx[ok]]
+        row = np.repeat(np.arange(len(n)), n)
+        if exact:
+            return row, idx, core.windows(self.value, width)[idx]
+        ok = self.worded(idx, width)
+        return row[ok], idx[ok], core.windows(self.template, width)[idx[ok]]
 
 
 class Items:
-    """A bounded block of items, as tokens and a sorted table of template windows for each window width."""
+    """A bounded block of items, as tokens and sorted tables for each window width: template windows, and exact ones."""
 
     def __init__(self, ids: list, texts: list, width: int):
         self.ids = ids
@@ -108,13 +117,16 @@ class Items:
         t = parts[0]
         self.at, self.kind, self.value, self.template = t.at, t.kind, t.value, t.template
         size = np.diff(t.at)
-        self.tables = {}
-        for w in sorted({width, *size[(size >= MIN_TOKENS) & (size < width)].tolist()}):
-            row, idx, h = t.windows(int(w))
-            mine = (size[row] == w) if w < width else np.ones(len(row), bool)
-            order = np.argsort(h[mine], kind="stable")
-            if len(order):
-                self.tables[int(w)] = (h[mine][order], row[mine][order], idx[mine][order])
+        self.tables: dict[bool, dict[int, tuple]] = {False: {}, True: {}}
+        for exact, tables in self.tables.items():
+            for w in sorted({width, *size[(size >= (1 if exact else MIN_TOKENS)) & (size < width)].tolist()}):
+                row, idx, h = t.windows(int(w), exact)
+                mine = (size[row] == w) if w < width else np.ones(len(row), bool)
+                if exact:
+                    mine &= (size[row] < MIN_TOKENS) | ~t.worded(idx, int(w))
+                order = np.argsort(h[mine], kind="stable")
+                if len(order):
+                    tables[int(w)] = (h[mine][order], row[mine][order], idx[mine][order])
 
 
 def _consistent(ik: np.ndarray, iv: np.ndarray, dv: np.ndarray) -> bool:
@@ -131,9 +143,9 @@ def find(items: Items, texts: pa.Array, width: int, percent: int, enough: int) -
     """(row, item, place, tokens covered, tokens of the item, verbatim) of each document that holds an item."""
     for lo, _, buf, offs in core.chunks(texts):
         t = Tokens(buf, offs)
-        rows, places, inums, iplaces, widths = [], [], [], [], []
-        for w, (h, irow, iidx) in items.tables.items():
-            row, idx, g = t.windows(w)
+        rows, places, inums, iplaces, widths, exacts = [], [], [], [], [], []
+        for exact, w, (h, irow, iidx) in [(x, w, table) for x, tables in items.tables.items() for w, table in tables.items()]:
+            row, idx, g = t.windows(w, exact)
             left = np.searchsorted(h, g, "left")
             n = np.searchsorted(h, g, "right") - left
             hit = n > 0
@@ -144,24 +156,28 @@ def find(items: Items, texts: pa.Array, width: int, percent: int, enough: int) -
                 inums.append(irow[j])
                 iplaces.append(iidx[j])
                 widths.append(np.full(len(j), w))
+                exacts.append(np.full(len(j), exact))
         if not rows:
             continue
-        row, place, inum, iplace, wide = (np.concatenate(x) for x in (rows, places, inums, iplaces, widths))
+        row, place, inum, iplace, wide, exact = (np.concatenate(x) for x in (rows, places, inums, iplaces, widths, exacts))
         shift = place - iplace
-        order = np.lexsort((place, shift, inum, row))
-        row, place, inum, iplace, wide, shift = (x[order] for x in (row, place, inum, iplace, wide, shift))
+        order = np.lexsort((place, exact, shift, inum, row))
+        row, place, inum, iplace, wide, exact, shift = (x[order] for x in (row, place, inum, iplace, wide, exact, shift))
         # at one alignment an edit breaks some windows, not the run
-        new = np.append(True, (row[1:] != row[:-1]) | (inum[1:] != inum[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] - place[:-1] > 3 * width))
+        new = np.append(True, (row[1:] != row[:-1]) | (inum[1:] != inum[:-1]) | (shift[1:] != shift[:-1]) | (exact[1:] != exact[:-1]) | (place[1:] - place[:-1] > 3 * width))
         cuts = np.append(np.flatnonzero(new), len(row))
         held: dict[tuple[int, int], list] = {}
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             p, q, i, d = int(place[a]), int(place[b - 1] + wide[b - 1]), int(inum[a]), int(shift[a])
             ivalue, ikind = items.value[p - d : q - d], items.kind[p - d : q - d]
             dvalue, dkind = t.value[p:q], t.kind[p:q]
-            slot = (ikind != WORD) & (ikind == dkind)
-            if not _consistent(ikind[slot], ivalue[slot], dvalue[slot]):
-                continue
-            agree = slot | (items.template[p - d : q - d] == t.template[p:q])
+            if exact[a]:
+                agree = ivalue == dvalue
+            else:
+                slot = (ikind != WORD) & (ikind == dkind)
+                if not _consistent(ikind[slot], ivalue[slot], dvalue[slot]):
+                    continue
+                agree = slot | (items.template[p - d : q - d] == t.template[p:q])
             at = int(items.at[i])
             entry = held.setdefault((int(row[a]), i), [np.zeros(int(items.at[i + 1]) - at, bool), p, True])
             entry[0][p - d - at : q - d - at] |= agree

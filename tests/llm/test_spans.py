@@ -131,6 +131,26 @@ def test_templates(spark):
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == ["2", "3", "7", "8"]
 
 
+def test_items_with_few_words(spark):
+    """Items of numbers, units and names, and items of very few tokens: found where their tokens are, not with other values."""
+    rng = random.Random(8)
+    numbers = [str(rng.randrange(1000)) for _ in range(40)]
+    texts = ["Compute 345 + 678 - 90 * 2 over 7", " ".join(numbers), "a list of Alice Bob Carol Dave Erin Frank Grace Heidi", "7 mod 3", "5 km 6 kg 7 days 8 hours", None, "***"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    docs = [(i, f"{odd.prose(60 + i, 30)} and {x} {odd.prose(70 + i, 9)}") for i, x in enumerate(texts[:5])]
+    docs += [
+        (10, f"{odd.prose(80, 30)} and compute 346 + 678 - 90 * 2 over 7 {odd.prose(81, 9)}"),
+        (11, " ".join(str(int(x) + 1000) for x in numbers)),
+        (12, " ".join(w if k % 10 else "none" for k, w in enumerate(numbers))),
+        (13, "a list of Alan Bill Chris Dan Ed Fred George Henry"),
+        (14, "7 mod 4"), (15, "5 km 6 kg 7 days 9 hours"), (16, "7 mod"), (17, None),
+    ]
+    frame = odd.frame(spark, [(*d, *odd.REST) for d in docs])
+    got = sorted((r["doc_id"], r["item_id"], r["verbatim"], r["covered"]) for r in decontaminate.leaks(frame, items).collect())
+    assert got == [(0, 0, True, 7), (1, 1, True, 40), (2, 2, True, 11), (3, 3, True, 3), (4, 4, True, 8), (12, 1, True, 36)]
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(frame, items).collect()) == [10, 11, 13, 14, 15, 16, 17]
+
+
 def test_a_large_benchmark_is_worked_on_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(i, odd.prose(1000 + i, 30)) for i in range(20)], "item_id bigint, text string")
     docs = odd.frame(spark, [(i, odd.prose(i, 20) + " " + odd.prose(1000 + i, 30), *odd.REST) for i in range(25)])
