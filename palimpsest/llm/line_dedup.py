@@ -100,7 +100,8 @@ def _cover(n: int, at: np.ndarray, places: pa.ListArray, width: int) -> np.ndarr
 def _rewrite(width: int, spare: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            later, kept = batch.column("later").fill_null([]), batch.column("kept").fill_null([])
+            later = batch.column("later").fill_null([])
+            kept = batch.column("kept").fill_null([]) if spare else None
             texts, lines, gone = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi, buf, offs in core.chunks(batch.column("text")):
                 s, e, n = core.line_spans(buf, offs)
@@ -137,9 +138,10 @@ def dedup_lines(docs: DataFrame, width: int = 3, counts: bool = True, spare: boo
     group = Window.partitionBy("h")
     place = F.struct("ord", "key", "p")
     judged = posted.withColumn("first", F.min(place).over(group)).withColumn("n", F.count("*").over(group)).withColumn("is_first", place == F.col("first"))
-    found = judged.where("sure is not null or n > 1 or multi").groupBy("key").agg(
-        F.concat(F.collect_set(F.expr("case when sure is null and not is_first then p end")), F.flatten(F.collect_list("sure"))).alias("later"),
-        F.collect_set(F.expr("case when sure is null and is_first then p end")).alias("kept"))
-    rows = keyed.join(found, "key", "left").select("row", "text", "later", "kept")
+    aggs = [F.concat(F.collect_set(F.expr("case when sure is null and not is_first then p end")), F.flatten(F.collect_list("sure"))).alias("later")]
+    if spare:
+        aggs.append(F.collect_set(F.expr("case when sure is null and is_first then p end")).alias("kept"))
+    found = judged.where("sure is not null or n > 1 or multi" if spare else "sure is not null or not is_first").groupBy("key").agg(*aggs)
+    rows = keyed.join(found, "key", "left").select("row", "text", "later", *(("kept",) if spare else ()))
     done = rows.mapInArrow(_rewrite(width, spare), core.out_schema(rows, "row", "text", n_lines="bigint", n_removed="bigint"))
     return core.unwrap(done, docs, *added)
