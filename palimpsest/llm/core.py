@@ -267,10 +267,14 @@ def shared(h: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- scratch tables
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests), one below the warehouse."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    root = conf or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
+    """A new folder in the shared one named by spark.checkpoint.dir; where that is unset, local mode uses one below the
+    warehouse, and a cluster is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{root.rstrip('/')}/palimpsest-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -296,44 +300,16 @@ def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 # ---------------------------------------------------------------- connected components
 
-#: Up to so many edges (16 bytes each) are joined up in one task; more take the distributed rounds.
-SMALL_EDGES = 1_000_000
-
-
-def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over a bounded number of edges."""
-    pairs = [np.stack([b.column("u").to_numpy(), b.column("v").to_numpy()], 1) for b in batches if b.num_rows]
-    if not pairs:
-        return
-    nodes, at = np.unique(np.concatenate(pairs), return_inverse=True)
-    parent = list(range(len(nodes)))  # nodes are sorted, so the smallest number is the smallest node
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in at.reshape(-1, 2).tolist():
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    roots = np.array([find(x) for x in range(len(nodes))])
-    yield batch_of(node=pa.array(nodes), component=pa.array(nodes[roots]))
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the undirected edges (a, b), component the smallest node reachable.
 
-    A counted, bounded number of edges is joined up in one task. More are by rounds of large-star and small-star steps:
-    minima are pre-aggregated before the shuffle and joined back by key, so a node with very many neighbours costs rows in
-    proportion to them, and a skewed join splits it. Every round is written to the shared folder. Nothing but a count, and
-    whether it is done, reaches the driver.
+    Rounds of large-star and small-star steps, whatever the number of edges: minima are pre-aggregated before the shuffle and
+    joined back by key, so a node with very many neighbours costs rows in proportion to them, and a skewed join splits it.
+    Every round is written to the shared folder, and the round before deleted. Nothing but whether it is done reaches the
+    driver.
     """
     spark = edges.sparkSession
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
-    if now.count() <= SMALL_EDGES:
-        return cut(now.coalesce(1).mapInArrow(_joined_up, "node bigint, component bigint"))
     for _ in range(max_rounds):
         # done when every node has edges to one smaller node, a root, at most
         ends = now.select(F.col("u").alias("x"), "v").unionByName(now.select(F.col("v").alias("x"), F.lit(None).cast("bigint").alias("v")))
