@@ -5,18 +5,21 @@ words; n_symbols, the characters #*$%&|<>; n_dup_lines, the \\n-split lines with
 n_repeat_words, the words in a window of three consecutive words that occurs at least twice in the text, the first included.
 base_failed is n_words < 50 or 100 * n_repeat_words > 50 * n_words; such documents are never kept.
 
-Method. Each rule below votes 1 (good), 0 (bad) or abstains, by fixed limits on those figures. A latent binary quality is
-fitted by expectation-maximisation to the counts of vote patterns: each rule has a probability of each vote given good and
-given bad, where no rule may vote against more than ``FALSE_ALARM`` of the good texts. kept is posterior >= 0.5 and not
-base_failed.
-
-Scale. One pass makes figures and votes; the pattern counts (at most 3^rules rows, whatever the corpus) go to the driver,
-where EM runs over weighted patterns; the posteriors go back as a broadcast lookup of that bounded size. The figures are
-written to the shared folder so that texts are read once.
+Method. Each rule below votes 1 (good), 0 (bad) or abstains, by limits on those figures. Rules come in families: those of one
+family look for the same defect in different ways, so that they overlap and may disagree. Texts are good or bad by one of
+the defects: a latent class a family, besides the good one. Expectation-maximisation on the counts of vote patterns
+estimates the share of each class and how often each rule votes for and against in it, abstentions left out. The
+probability of the good class is the posterior; kept is posterior >= 0.5 and not base_failed. So no vote decides by itself:
+a vote against that other rules of its family contradict is outvoted if EM finds that rule to raise false alarms, and
+counts if it finds it reliable.
+
+Scale. One pass makes figures and votes; the pattern counts (at most 3 ** 11 rows, whatever the corpus) go to the driver,
+where EM runs over weighted patterns; the posteriors go back as a broadcast lookup of that bounded size. What the pass makes
+is written to the shared folder, so that texts are read and worked on once; they are never shuffled.
 
 Defined results. Null text: as empty (figures 0, base_failed). Empty table: no rows. Repeated rows count and are judged
 each. Null ids are carried. Very long texts are worked on whole. Columns of the input stay; the added ones replace columns of
-the same name. With one pattern only, or none, the posterior is that of the starting values.
+the same name. A text on which all rules abstain has the share of good texts for its posterior.
 """
 
 from __future__ import annotations
@@ -30,27 +33,31 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import core, weak
 
-FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits")
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_symbol_words", "n_capital_words", "n_digit_words", "n_distinct")
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-#: The most that a rule is taken to vote against good texts.
-FALSE_ALARM = 0.01
 
-#: Each rule: name, condition of a bad vote, condition of a good vote; neither: it abstains. Figures as above; n_upper
-#: counts ASCII capitals, n_digits ASCII digits. A rule that looks for one defect abstains without it: its absence says
-#: little, as a bad text has one or two defects of many.
+#: Each rule: family, name, condition of a bad vote, condition of a good vote; neither: it abstains. Figures as above;
+#: n_upper counts ASCII capitals, n_digits ASCII digits; n_symbol_words, n_capital_words and n_digit_words the words with a
+#: symbol, with two capitals or more and no small letter, and with a digit; n_distinct the different words.
 RULES = (
-    ("length", "n_words < 20", "false"),
-    ("symbols", "10 * n_symbols > n_words", "false"),
-    ("capitals", "10 * n_upper > 3 * word_chars", "false"),
-    ("repeats", "100 * n_repeat_words > 50 * n_words", "false"),
-    ("lines", "10 * n_dup_lines > 3 * n_lines and n_dup_lines > 2", "false"),
-    ("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words", "false"),
-    ("digits", "2 * n_digits > word_chars", "false"),
-    ("prose", "false", "n_words >= 20 and 50 * n_symbols <= n_words and 10 * n_upper <= word_chars"),
-    ("variety", "false", "100 * n_repeat_words <= 15 * n_words and 20 * n_dup_lines <= n_lines"),
+    ("symbols", "symbols_by_word", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    ("symbols", "words_with_symbols", "8 * n_symbol_words > n_words", "50 * n_symbol_words <= n_words"),
+    ("symbols", "symbols_by_character", "25 * n_symbols > word_chars", "250 * n_symbols <= word_chars"),
+    ("copies", "repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
+    ("copies", "lines", "10 * n_dup_lines > 3 * n_lines and n_dup_lines > 2", "10 * n_dup_lines <= n_lines"),
+    ("copies", "vocabulary", "n_distinct * n_distinct < 4 * n_words", "n_distinct * n_distinct >= 20 * n_words"),
+    ("capitals", "capitals_by_character", "10 * n_upper > 3 * word_chars", "10 * n_upper <= word_chars"),
+    ("capitals", "words_in_capitals", "4 * n_capital_words > n_words", "10 * n_capital_words <= n_words"),
+    ("form", "digits", "4 * n_digits > word_chars", "20 * n_digits <= word_chars"),
+    ("form", "words_with_digits", "3 * n_digit_words > n_words", "10 * n_digit_words <= n_words"),
+    ("form", "word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words", "word_chars >= 3 * n_words and word_chars <= 9 * n_words"),
 )
+FAMILIES = tuple(dict.fromkeys(r[0] for r in RULES))
+#: Where EM starts: in good texts a rule votes for in 8 of 10 votes; in texts with a defect the rules of its family vote
+#: against as often, the others for and against alike; 7 texts of 10 are good.
+RIGHT, GOOD = 0.8, 0.7
 
 
 def figures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
@@ -68,6 +75,18 @@ def figures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
     starts = core.IS_WORD[buf] & ((buf & 0xC0) != 0x80)  # code points, not continuation bytes
+    upper, digit = (buf >= 65) & (buf <= 90), (buf >= 48) & (buf <= 57)
+
+    def in_words(flags: np.ndarray) -> np.ndarray:
+        """How many of the flagged bytes each word holds."""
+        total = np.append(0, np.cumsum(flags))
+        return total[e] - total[s]
+
+    def per_row(words_: np.ndarray) -> np.ndarray:
+        total = np.append(0, np.cumsum(words_))
+        return total[at[1:]] - total[at[:-1]]
+
+    shout = (in_words(upper) > 1) & (in_words((buf >= 97) & (buf <= 122)) == 0)
     ls, le, n_lines = core.line_spans(buf, offs)
     total = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(core.IS_WORD[buf], out=total[1:])
@@ -76,6 +95,8 @@ def figures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     dup = np.bincount(line_rows[_again(core.hash_spans(buf, ls[on], le[on]), line_rows)], minlength=rows)
 
     h = core.hash_spans(buf, s, e)
+    word_rows = np.repeat(np.arange(rows), words)
+    distinct = words - np.bincount(word_rows[_again(h, word_rows)], minlength=rows)
     g = core.windows(h, 3)
     n = np.maximum(words - 2, 0)
     idx = core.ranges(at[:-1], n)
@@ -92,8 +113,12 @@ def figures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         "n_dup_lines": dup,
         "n_repeat_words": covered[at[1:]] - covered[at[:-1]],
         "n_lines": np.bincount(line_rows, minlength=rows),
-        "n_upper": count((buf >= 65) & (buf <= 90)),
-        "n_digits": count((buf >= 48) & (buf <= 57)),
+        "n_upper": count(upper),
+        "n_digits": count(digit),
+        "n_symbol_words": per_row(in_words(symbol[buf]) > 0),
+        "n_capital_words": per_row(shout),
+        "n_digit_words": per_row(in_words(digit) > 0),
+        "n_distinct": distinct,
     }
 
 
@@ -131,33 +156,42 @@ def _with_figures(batch: pa.RecordBatch, keep_text: bool) -> pa.RecordBatch:
 
 
 def votes() -> Column:
-    """The vote pattern: a character a rule, 1 good, 0 bad, - abstains."""
-    return F.concat(*[F.expr(f"case when {bad} then '0' when {good} then '1' else '-' end") for _, bad, good in RULES])
+    """The vote pattern: a character a rule, 1 good, 0 bad, ? abstains."""
+    return F.concat(*[F.expr(f"case when {bad} then '0' when {good} then '1' else '?' end") for _, _, bad, good in RULES])
+
+
+def begin() -> tuple[np.ndarray, np.ndarray]:
+    """Starting table [class, rule, vote] and shares: a class for each family, the good one last."""
+    against = np.array([[RIGHT if r[0] == f else 0.5 for r in RULES] for f in FAMILIES] + [[1 - RIGHT] * len(RULES)])
+    table = np.stack([np.full(against.shape, 1e-3), against, 1 - against], 2)
+    return table, np.array([(1 - GOOD) / len(FAMILIES)] * len(FAMILIES) + [GOOD])
 
 
 def _posteriors(made: DataFrame) -> DataFrame:
     """(votes, posterior): a table of at most 3 ** len(RULES) rows, whatever the corpus."""
     patterns = {r["votes"]: r["n"] for r in made.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    return made.sparkSession.createDataFrame(list(weak.fit(patterns, false_alarm=FALSE_ALARM)[2].items()), "votes string, posterior double")
+    return made.sparkSession.createDataFrame(list(weak.fit(patterns, *begin())[2].items()), "votes string, posterior double")
+
+
+FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
-def _judged(made: DataFrame, posteriors: DataFrame) -> DataFrame:
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    return made.join(F.broadcast(posteriors), "votes").withColumn("base_failed", failed).withColumn("kept", (F.col("posterior") >= 0.5) & ~F.col("base_failed"))
+def _judged(made: DataFrame) -> DataFrame:
+    return made.join(F.broadcast(_posteriors(made)), "votes").withColumn("kept", (F.col("posterior") >= 0.5) & ~F.col("base_failed"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without ``text``, with the figures, base_failed, posterior and kept."""
     keyed = core.wrap(docs, *ADDED)
     figured = keyed.mapInArrow(_figures(), core.out_schema(keyed, "row", "key", **{c: "bigint" for c in FIGURES}))
-    made = core.cut(figured.withColumn("votes", votes()).drop("key"))
-    return core.unwrap(_judged(made, _posteriors(made)), docs, *ADDED, text=False)
+    made = core.cut(figured.select("row", *FIGURES[:5], F.expr(FAILED).alias("base_failed"), votes().alias("votes")))
+    return core.unwrap(_judged(made), docs, *ADDED, text=False)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns. Two passes over the texts, which are never shuffled."""
-    slim = core.bounded_batches(docs).select(F.lit(0).alias("row"), "text")
-    counted = slim.mapInArrow(_figures(), core.out_schema(slim, "row", **{c: "bigint" for c in FIGURES})).withColumn("votes", votes())
+    """The rows of ``docs`` that are kept, with all their columns. Texts that fail the base test are not written again."""
     keyed = core.wrap(docs)
-    made = keyed.mapInArrow(_figures(keep_text=True), core.out_schema(keyed, *keyed.columns, **{c: "bigint" for c in FIGURES})).withColumn("votes", votes())
-    return core.unwrap(_judged(made, _posteriors(counted)).where("kept"), docs)
+    figured = keyed.mapInArrow(_figures(keep_text=True), core.out_schema(keyed, *keyed.columns, **{c: "bigint" for c in FIGURES}))
+    failed = F.expr(FAILED)
+    made = core.cut(figured.select("row", F.when(~failed, F.col("text")).alias("text"), failed.alias("base_failed"), votes().alias("votes")))
+    return core.unwrap(_judged(made).where("kept"), docs)

@@ -10,47 +10,37 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(patterns: dict[str, int], rounds: int = 200, start: float = 0.7, accuracy: tuple[float, ...] | None = None, false_alarm: float | None = None) -> tuple[float, np.ndarray, dict[str, float]]:
-    """EM over weighted vote patterns: prior of good, table [class, rule, vote], posterior of good by pattern.
+def votes_begin(right: np.ndarray) -> np.ndarray:
+    """Starting table [class, rule, vote] of a bad and a good class, from how often each rule is taken to be right."""
+    wrong = (1 - right) / 2
+    return np.stack([np.stack([wrong, right, wrong], 1), np.stack([wrong, wrong, right], 1)])
 
-    It starts from the given accuracies, 0.8 each by default, which also fixes which class is the good one. ``false_alarm``
-    bounds how often a rule may be taken to vote against the good class wrongly: without it EM may call the largest set of
-    like bad texts the bad class, and the other bad ones good.
-    """
 
-    def bounded(table: np.ndarray) -> np.ndarray:
-        if false_alarm is not None:
-            over = np.maximum(table[1, :, 1] - false_alarm, 0)
-            rest = table[1, :, 0] + table[1, :, 2]
-            table[1, :, 0] += over * table[1, :, 0] / rest
-            table[1, :, 2] += over * table[1, :, 2] / rest
-            table[1, :, 1] -= over
-        return table
+def fit(patterns: dict[str, int], begin: np.ndarray, prior: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
+    """EM over weighted vote patterns: share of each class, table [class, rule, vote], posterior of the last class by pattern.
 
+    ``begin`` is the starting table, which also fixes what each class stands for, and counts as one vote of each rule in each
+    class; ``prior`` the starting shares, which count as one item.
+    """
     keys = sorted(patterns)
+    table, share = begin / begin.sum(2, keepdims=True), prior / prior.sum()
     if not keys:
-        return start, np.zeros((2, 0, 3)), {}
+        return share, table, {}
     weight = np.array([patterns[k] for k in keys], float)
     vote = np.array([["-01?".index(c) for c in k] for k in keys])
-    k = vote.shape[1]
     onehot = np.eye(4)[vote][:, :, :3]
-    right = np.array(accuracy or (0.8,) * k)
-    wrong = (1 - right) / 2
-    begin = np.stack([np.stack([wrong, right, wrong], 1), np.stack([wrong, wrong, right], 1)])  # bad, good
-    table = bounded(begin.copy())
-    prior = start
-    post = np.zeros(len(keys))
+    post = np.zeros((len(keys), len(share)))
     for _ in range(rounds):
-        like = np.einsum("prv,crv->pc", onehot, np.log(table)) + np.log([1 - prior, prior])
-        old, post = post, 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -500, 500)))
+        like = np.einsum("prv,crv->pc", onehot, np.log(table)) + np.log(share)
+        like = np.exp(like - like.max(1, keepdims=True))
+        old, post = post, like / like.sum(1, keepdims=True)
         if np.abs(post - old).max() < 1e-10:
             break
-        share = np.stack([weight * (1 - post), weight * post])
-        # one pseudo-vote of the starting kind for each rule and class keeps every probability above 0
-        table = np.einsum("cp,prv->crv", share, onehot) + begin
-        table = bounded(table / table.sum(2, keepdims=True))
-        prior = float((share[1].sum() + start) / (weight.sum() + 1))
-    return prior, table, dict(zip(keys, post.tolist(), strict=True))
+        held = weight[:, None] * post
+        table = np.einsum("pc,prv->crv", held, onehot) + begin
+        table /= table.sum(2, keepdims=True)
+        share = (held.sum(0) + prior / prior.sum()) / (weight.sum() + 1)
+    return share, table, dict(zip(keys, post[:, -1].tolist(), strict=True))
 
 
 def classifier(patterns: dict[str, int], posterior: dict[str, float], rounds: int = 50, ridge: float = 1.0) -> dict[str, float]:
