@@ -6,28 +6,33 @@ digits). The patterns are written so that matching stays linear on any text: run
 inside a run that has failed.
 
 Method. Candidates are the base matches, those that fail the check of their kind, and looser forms: emails with a written
-"at", phone numbers without a plus sign, IPv6 addresses. Labelers vote on each: the strict pattern, the check, a gazetteer
+"at", phone numbers without a plus sign, IPv6 addresses; and secrets (runs of 20 characters or more as keys and tokens have
+them), a kind without a base, where all is decided by the votes. Labelers vote on each: the strict pattern, the check, a gazetteer
 (common endings of domains, first digits of card issuers, and so on), words before the span that speak for its kind, and
 words that speak against it. The first two do not apply to looser forms, which fail both by construction, and say nothing of
-them (? in a pattern of votes). For each kind EM estimates the reliability of each labeler from the counts of vote patterns,
+them (? in a pattern of votes); the check of a secret is that it mixes letters and digits. For each kind EM estimates the reliability of each labeler from the counts of vote patterns,
 and a logistic classifier over the votes is trained on the posteriors. A candidate that overlaps no base span and to which the
 classifier gives at least ``threshold`` is added; base spans stay whatever the votes.
 
 Scale. One pass over the texts, no shuffle of them; the spans are written to the shared folder, vote patterns (at most
-4 * (3^5 + 3^3)) are counted and fitted on the driver, and the decision returns as a literal of that size.
+5 * (3^5 + 3^4)) are counted and fitted on the driver, and the decision returns as a literal of that size.
 
 Positions are code points, end exclusive. Defined results. Null or empty text: no spans, the digest of the empty string.
-Repeated rows are judged each. Null ids are carried. Very long texts are matched whole. Empty table: no rows.
+Repeated rows are judged each. Null ids are carried. Very long texts are matched whole. Empty table: no rows. Other columns
+of the input are not carried, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import core, weak
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds with base spans, and all.
+BASIC = ("email", "ip", "card", "phone")
+KINDS = (*BASIC, "secret")
 
 # Patterns by kind, base ones and looser ones.
 BASE = {
@@ -40,15 +45,18 @@ LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\})\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+",
 }
 #: What a text must hold before a pattern is tried; a cheap test.
 NEEDED = {"email": "@", "phone": "+"}
+NEEDED_LOOSE = {"email": r"[(\[{]at[)\]}]", "secret": r"[A-Za-z0-9_+/-]{20}"}
 #: Words before a span that speak for its kind; matched in the last 40 characters, lower-cased.
 FOR = {
     "email": r"(?:e-?mail|contact|write to|reach|mailto|courriel|correo|kontakt)[^a-z]",
     "ip": r"(?:\bip\b|host|server|address|connect|from|adresse|direcci)",
     "card": r"(?:card|visa|mastercard|amex|credit|debit|payment|karte|carte|tarjeta)",
     "phone": r"(?:phone|tel|call|mobile|fax|cell|contact|anruf|appel|llam)",
+    "secret": r"(?:token|secret|api[ _-]?key|access[ _-]?key|passw|pwd|bearer|credential|auth)[^a-z]*$",
 }
 #: Words before a span that speak against it, for every kind.
 AGAINST = r"(?:version|chapter|section|page|isbn|order no|item no|build|release|serial|sha|hash|uuid|total|sum)[^a-z]*$"
@@ -58,7 +66,10 @@ GAZETTEER = {
     "ip": r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|[1-9][0-9]{0,2}\.|2[0-9a-fA-F]{3}:)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
     "phone": r"^(?:\+[1-9]|\(?[2-9])",
+    "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]+|sk[-_][A-Za-z0-9_-]+|xox[abprs]-[A-Za-z0-9-]+|eyJ[A-Za-z0-9_-]+)$",
 }
+#: A digit and a letter, which random strings of that length hold.
+MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"
 FOUND = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -124,6 +135,8 @@ def _votes(kind: str, m: Column, b: Column, passed: Column | None) -> Column:
         form = F.when(F.rlike(m, F.lit(r"^[0-9]{4}([\x20-])[0-9]{4,6}\1[0-9]{4,5}")), "1").otherwise("-")
     else:
         form = F.lit("?" if passed is None else "1")
+    if kind == "secret":
+        passed = F.rlike(m, F.lit(MIXED))
     return F.concat(
         form,
         F.lit("?") if passed is None else F.when(passed, "1").otherwise("0"),
@@ -141,16 +154,19 @@ def _candidates(text: Column, kind: str) -> Column:
         passed = _passes(kind, x["m"]) if strict else None
         return F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e"), (passed if strict else F.lit(False)).alias("base"), _votes(kind, x["m"], x["b"], passed).alias("votes"))
 
-    found = _guarded(text, NEEDED.get(kind), _matches(text, BASE[kind]))
-    if kind == "card":
-        found = F.filter(found, lambda x: F.length(x["m"]) >= 13)
-    out = F.transform(found, lambda x: judged(x, True))
+    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string,b:string>>)")
+    parts = []
+    if kind in BASE:
+        found = _guarded(text, NEEDED.get(kind), _matches(text, BASE[kind]))
+        if kind == "card":
+            found = F.filter(found, lambda x: F.length(x["m"]) >= 13)
+        parts.append(F.transform(found, lambda x: judged(x, True)))
     if kind in LOOSE:
         loose = _matches(text, LOOSE[kind])
-        if kind == "email":
-            loose = F.when(F.rlike(text, F.lit(r"[(\[{]at[)\]}]")), loose).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,m:string,b:string>>)"))
-        out = F.concat(out, F.transform(loose, lambda x: judged(x, False)))
-    return out
+        if kind in NEEDED_LOOSE:
+            loose = F.when(F.rlike(text, F.lit(NEEDED_LOOSE[kind])), loose).otherwise(none)
+        parts.append(F.transform(loose, lambda x: judged(x, False)))
+    return F.concat(*parts)
 
 
 def _decided(candidates: DataFrame, threshold: float) -> list[str]:
@@ -160,7 +176,7 @@ def _decided(candidates: DataFrame, threshold: float) -> list[str]:
         counts.setdefault(str(r["k"]), {})[r["votes"]] = r["n"]
     good = []
     for k, patterns in counts.items():
-        posterior = weak.fit(patterns, start=0.5, accuracy=ACCURACY)[2]
+        posterior = weak.fit(patterns, weak.votes_begin(np.array(ACCURACY)), np.array([0.5, 0.5]))[2]
         good += [k + votes for votes, p in weak.classifier(patterns, posterior).items() if p >= threshold]
     return sorted(good)
 

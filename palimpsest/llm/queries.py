@@ -43,8 +43,10 @@ def _of_kind(k: int) -> Callable:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.find_pii(_read(spark, sf_dir, "documents", "doc_id", "text"))
-    counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
-    return done.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(pii.BASIC)]
+    secret = pii.KINDS.index("secret")
+    done = done.withColumns({"secrets": F.filter("spans", _of_kind(secret)), "n_found": F.size("spans").cast("bigint")}).withColumn("spans", F.filter("spans", lambda x: x["k"] != secret))
+    return done.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), pii.joined("secrets").alias("secrets"), "n_found")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
