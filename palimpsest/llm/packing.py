@@ -11,7 +11,7 @@ Scale. One pass over the texts, no shuffle: a partition holds ``open_windows`` w
 Sequence ids are (partition number << 32) + running number, so a lost task gives the same ids again.
 
 Token ids are those of the tokenizers library for the given vocabulary. With a rank file of the same vocabulary the faster
-tiktoken gives them; texts for which the two differ (``unsure``) go through tokenizers.
+tiktoken gives them; texts for which the two differ, or on which tiktoken fails (``unsure``), go through tokenizers.
 
 Defined results. Null or empty text: the end id alone. Repeated rows are packed each. Very long texts are tokenised whole.
 Null ids are carried. Other columns of the input are not carried. No rows: no pieces.
@@ -20,6 +20,7 @@ Null ids are carried. Other columns of the input are not carried. No rows: no pi
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -126,9 +127,13 @@ def encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = Non
     return encode
 
 
+#: tiktoken's pattern looks back over a run of blanks and gives up, with a panic, on very long ones.
+_LONG_BLANK = re.compile(r"\s{2000}")
+
+
 def unsure(text: str, special: list[str]) -> bool:
-    """Whether the two libraries differ: tokenizers takes the strings of special tokens in a text for these tokens."""
-    return any(s in text for s in special)
+    """Whether the two libraries differ: on texts with the string of a special token, or with a very long run of blanks."""
+    return any(s in text for s in special) or _LONG_BLANK.search(text) is not None
 
 
 def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, end_id: int = 0, size: int = SIZE, open_windows: int = OPEN_WINDOWS) -> DataFrame:
