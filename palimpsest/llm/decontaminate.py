@@ -9,18 +9,21 @@ Match. A template window is ``window`` consecutive canonical tokens of which at
 shorter than a window is one window as a whole, if it has at least ``MIN_TOKENS`` tokens). Windows of documents are
 hash-joined with those of the items. Windows of items with fewer words, and items below ``MIN_TOKENS`` as a whole, are joined
 with all windows of documents by the tokens themselves, placeholders not put in; their matches form runs of their own, in
-which only equal tokens agree. So an item of one token is held by every document with that token. Matches of one item at one alignment (document place minus item place) and at most
-three windows apart form a run. In a run slots must be consistent: the same value in the item must stand for the same value
-in the document, and the other way round, for each kind; other runs do not count. A document holds an item if the tokens
-that agree in its runs make up at least ``percent`` of the item's, or ``enough``.
+which only equal tokens agree. So an item of one token is held by every document with that token. Matches of one item at one
+alignment (document place minus item place) and at most three windows apart form a run. In a run slots must be consistent:
+the same value in the item must stand for the same value in the document, and the other way round, for each kind; other
+runs do not count. A document holds an item if the tokens that agree in its runs make up at least ``percent`` of the item's,
+or ``enough``.
 
-Scale. One pass over the texts, no shuffle of them: a block of at most ``BLOCK_TOKENS`` item tokens goes to the executors
-as a broadcast of that bounded size, and the matches are settled where the document is. A larger benchmark is worked on in
-several blocks, one pass each, so that nothing grows with it. Windows that several items share are joined with each, to
-``len(items)`` rows at the worst, within a document.
+Scale. One pass over the texts, whatever the size of the benchmark. The items' window hashes are a table; a bit table of
+fixed size (``TABLE_BITS``), made of them by a native aggregate, goes to the executors, and only documents with a window
+whose bit is set leave that pass, as tokens. Their windows are joined with the items' by hash (Catalyst broadcasts the items
+by size, or splits skewed hashes), matches are grouped by document and item, and runs are settled there, on tokens. A larger
+benchmark sets more bits, so more windows take part in the join; the results are the same. Windows that several items share
+are joined with each. ``keep_clean`` writes what the pass makes once; only documents with a set bit meet the list of leaks.
 
 Defined results. Null or empty texts, on either side, match nothing. Repeated items or documents match each. Null ids are
-carried. Very long texts are worked on whole.
+carried. Very long texts are worked on whole. Empty tables: no leaks, nothing dropped. Other columns stay, or are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import core
 
-BLOCK_TOKENS = 4_000_000
+TABLE_BITS = 27
 MIN_TOKENS = 6
 #: Unit words.
 UNITS = (
@@ -108,25 +111,92 @@ class Tokens:
         return row[ok], idx[ok], core.windows(self.template, width)[idx[ok]]
 
 
-class Items:
-    """A bounded block of items, as tokens and sorted tables for each window width: template windows, and exact ones."""
+def _salted(h: np.ndarray, width: int, exact: bool) -> np.ndarray:
+    """One key space for windows of all widths and both kinds."""
+    return core.mix(h ^ core.mix(np.array([2 * width + exact + 1000], np.uint64))[0])
 
-    def __init__(self, ids: list, texts: list, width: int):
-        self.ids = ids
-        parts = [Tokens(buf, offs) for _, _, buf, offs in core.chunks(pa.array(texts, pa.string()), 1 << 62)]
-        t = parts[0]
-        self.at, self.kind, self.value, self.template = t.at, t.kind, t.value, t.template
-        size = np.diff(t.at)
-        self.tables: dict[bool, dict[int, tuple]] = {False: {}, True: {}}
-        for exact, tables in self.tables.items():
-            for w in sorted({width, *size[(size >= (1 if exact else MIN_TOKENS)) & (size < width)].tolist()}):
-                row, idx, h = t.windows(int(w), exact)
-                mine = (size[row] == w) if w < width else np.ones(len(row), bool)
-                if exact:
-                    mine &= (size[row] < MIN_TOKENS) | ~t.worded(idx, int(w))
-                order = np.argsort(h[mine], kind="stable")
-                if len(order):
-                    tables[int(w)] = (h[mine][order], row[mine][order], idx[mine][order])
+
+def _packed(t: Tokens, rows: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Kinds (a byte each) and values (8 bytes each) of the tokens of these rows."""
+    n = np.diff(t.at)[rows]
+    idx = core.ranges(t.at[:-1][rows], n)
+    return _binary(t.kind[idx].astype(np.uint8), n), _binary(t.value[idx], n)
+
+
+def _binary(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    ends = np.append(0, np.cumsum(n)) * flat.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+def _window_list(h: np.ndarray, place: np.ndarray, wide: np.ndarray, exact: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A list a row of (h, place, wide, exact)."""
+    offs = np.append(0, np.cumsum(n)).astype(np.int32)
+    one = pa.StructArray.from_arrays([pa.array(core.i64(h)), pa.array(place.astype(np.int32)), pa.array(wide.astype(np.int32)), pa.array(exact)], names=["h", "place", "wide", "exact"])
+    return pa.ListArray.from_arrays(pa.array(offs), one)
+
+
+WINDOWS = "array<struct<h:bigint,place:int,wide:int,exact:boolean>>"
+
+
+def _gathered(rows: int, parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """(h, place, wide, exact, number in each row) of window parts (row, h, place, width, exact), ordered by row and place."""
+    row = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
+    h = np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in parts)])
+    place = np.concatenate([np.zeros(0, np.int64), *(p[2] for p in parts)])
+    wide = np.concatenate([np.zeros(0, np.int64), *(np.full(len(p[0]), p[3]) for p in parts)])
+    exact = np.concatenate([np.zeros(0, bool), *(np.full(len(p[0]), p[4]) for p in parts)])
+    order = np.lexsort((exact, place, row))
+    return h[order], place[order], wide[order], exact[order], np.bincount(row, minlength=rows)
+
+
+def _item_windows(width: int) -> Callable:
+    """(item_id, kinds, values, size, wins) of the items that have windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offs in core.chunks(batch.column("text")):
+                t = Tokens(buf, offs)
+                size, parts = np.diff(t.at), []
+                for exact in (False, True):
+                    for w in sorted({width, *size[(size >= (1 if exact else MIN_TOKENS)) & (size < width)].tolist()}):
+                        row, idx, h = t.windows(w, exact)
+                        mine = (size[row] == w) if w < width else np.ones(len(row), bool)
+                        if exact:
+                            mine &= (size[row] < MIN_TOKENS) | ~t.worded(idx, w)
+                        parts.append((row[mine], _salted(h[mine], w, exact), (idx - t.at[row])[mine], w, exact))
+                kinds, values = _packed(t, np.arange(hi - lo))
+                yield core.batch_of(item_id=batch.column("item_id").slice(lo, hi - lo), kinds=kinds, values=values, size=pa.array(size.astype(np.int32)), wins=_window_list(*_gathered(hi - lo, parts)))
+
+    return run
+
+
+def _scan(table, shapes: list[tuple[int, bool]], keep: bool) -> Callable:
+    """Documents with their windows whose bit is set, and tokens: all documents, or those alone that have such windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for batch in batches:
+            for lo, hi, buf, offs in core.chunks(batch.column("text")):
+                t, parts = Tokens(buf, offs), []
+                for w, exact in shapes:
+                    row, idx, h = t.windows(w, exact)
+                    h = _salted(h, w, exact)
+                    at = h >> np.uint64(64 - TABLE_BITS)
+                    on = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+                    parts.append((row[on], h[on], (idx - t.at[row])[on], w, exact))
+                h, place, wide, exact_, n = _gathered(hi - lo, parts)
+                own = batch.slice(lo, hi - lo)
+                some = np.flatnonzero(n > 0)
+                if not keep:
+                    if len(some):
+                        kinds, values = _packed(t, some)
+                        yield core.batch_of(doc_id=own.column("doc_id").take(pa.array(some)), kinds=kinds, values=values, wins=_window_list(h, place, wide, exact_, n[some]))
+                    continue
+                size = np.where(n > 0, np.diff(t.at), 0)
+                idx = core.ranges(t.at[:-1], size)
+                yield core.batch_of(row=own.column("row"), text=own.column("text"), kinds=_binary(t.kind[idx].astype(np.uint8), size), values=_binary(t.value[idx], size), wins=_window_list(h, place, wide, exact_, n))
+
+    return run
 
 
 def _consistent(ik: np.ndarray, iv: np.ndarray, dv: np.ndarray) -> bool:
@@ -139,103 +209,105 @@ def _consistent(ik: np.ndarray, iv: np.ndarray, dv: np.ndarray) -> bool:
     return True
 
 
-def find(items: Items, texts: pa.Array, width: int, percent: int, enough: int) -> Iterator[tuple[int, int, int, int, int, bool]]:
-    """(row, item, place, tokens covered, tokens of the item, verbatim) of each document that holds an item."""
-    for lo, _, buf, offs in core.chunks(texts):
-        t = Tokens(buf, offs)
-        rows, places, inums, iplaces, widths, exacts = [], [], [], [], [], []
-        for exact, w, (h, irow, iidx) in [(x, w, table) for x, tables in items.tables.items() for w, table in tables.items()]:
-            row, idx, g = t.windows(w, exact)
-            left = np.searchsorted(h, g, "left")
-            n = np.searchsorted(h, g, "right") - left
-            hit = n > 0
-            if hit.any():
-                j = core.ranges(left[hit], n[hit])
-                rows.append(np.repeat(row[hit], n[hit]))
-                places.append(np.repeat(idx[hit], n[hit]))
-                inums.append(irow[j])
-                iplaces.append(iidx[j])
-                widths.append(np.full(len(j), w))
-                exacts.append(np.full(len(j), exact))
-        if not rows:
-            continue
-        row, place, inum, iplace, wide, exact = (np.concatenate(x) for x in (rows, places, inums, iplaces, widths, exacts))
-        shift = place - iplace
-        order = np.lexsort((place, exact, shift, inum, row))
-        row, place, inum, iplace, wide, exact, shift = (x[order] for x in (row, place, inum, iplace, wide, exact, shift))
-        # at one alignment an edit breaks some windows, not the run
-        new = np.append(True, (row[1:] != row[:-1]) | (inum[1:] != inum[:-1]) | (shift[1:] != shift[:-1]) | (exact[1:] != exact[:-1]) | (place[1:] - place[:-1] > 3 * width))
-        cuts = np.append(np.flatnonzero(new), len(row))
-        held: dict[tuple[int, int], list] = {}
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            p, q, i, d = int(place[a]), int(place[b - 1] + wide[b - 1]), int(inum[a]), int(shift[a])
-            ivalue, ikind = items.value[p - d : q - d], items.kind[p - d : q - d]
-            dvalue, dkind = t.value[p:q], t.kind[p:q]
-            if exact[a]:
-                agree = ivalue == dvalue
-            else:
-                slot = (ikind != WORD) & (ikind == dkind)
-                if not _consistent(ikind[slot], ivalue[slot], dvalue[slot]):
-                    continue
-                agree = slot | (items.template[p - d : q - d] == t.template[p:q])
-            at = int(items.at[i])
-            entry = held.setdefault((int(row[a]), i), [np.zeros(int(items.at[i + 1]) - at, bool), p, True])
-            entry[0][p - d - at : q - d - at] |= agree
-            entry[1] = min(entry[1], p)
-            entry[2] &= bool((ivalue == dvalue)[agree].all())
-        for (r, i), (met, p, same) in sorted(held.items(), key=lambda x: x[0]):
-            covered = int(met.sum())
-            if covered >= enough or 100 * covered >= percent * len(met):
-                yield lo + r, i, p - int(t.at[r]), covered, len(met), same
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
-    """The items in blocks of bounded size; one block at a time is on the driver."""
-    ids, texts, held = [], [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        held += len(r["text"]) // 3 + 1
-        if held >= BLOCK_TOKENS:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _scan(items, width: int, percent: int, enough: int, keep: bool) -> Callable:
+def _held(met: np.ndarray, dkinds: np.ndarray, dvalues: np.ndarray, ikinds: np.ndarray, ivalues: np.ndarray, width: int) -> tuple[int, int, bool]:
+    """(place, tokens covered, verbatim) of one item in one document, from the matches (exact, place, item place, width)."""
+    exact, place, iplace, wide = met
+    shift = place - iplace
+    order = np.lexsort((place, exact, shift))
+    exact, place, wide, shift = exact[order], place[order], wide[order], shift[order]
+    # at one alignment an edit breaks some windows, not the run
+    new = np.append(True, (shift[1:] != shift[:-1]) | (exact[1:] != exact[:-1]) | (place[1:] - place[:-1] > 3 * width))
+    cuts = np.append(np.flatnonzero(new), len(place))
+    covered, first, verbatim = np.zeros(len(ikinds), bool), -1, True
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        p, q, d = int(place[a]), int((place[a:b] + wide[a:b]).max()), int(shift[a])
+        ik, iv, dk, dv = ikinds[p - d : q - d], ivalues[p - d : q - d], dkinds[p:q], dvalues[p:q]
+        same = iv == dv
+        if exact[a]:
+            agree = same
+        else:
+            slot = (ik != WORD) & (ik == dk)
+            if not _consistent(ik[slot], iv[slot], dv[slot]):
+                continue
+            agree = slot | (same & (ik == WORD) & (dk == WORD))
+        covered[p - d : q - d] |= agree
+        first = p if first < 0 else min(first, p)
+        verbatim &= bool(same[agree].all())
+    return first, int(covered.sum()), verbatim
+
+
+def _settle(width: int, percent: int, enough: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = items.value
         for batch in batches:
-            found = list(find(block, batch.column("text"), width, percent, enough))
-            if keep:
-                clean = np.ones(batch.num_rows, bool)
-                clean[[f[0] for f in found]] = False
-                yield batch.filter(pa.array(clean))
-            elif found:
-                row, item, place, covered, size, same = zip(*found, strict=True)
-                yield core.batch_of(doc_id=batch.column("doc_id").take(pa.array(row)), item_id=pa.array([block.ids[i] for i in item], pa.int64()), place=pa.array(place, pa.int64()), covered=pa.array(covered, pa.int64()), item_tokens=pa.array(size, pa.int64()), verbatim=pa.array(same))
+            out = []
+            met = batch.column("met")
+            for i in range(batch.num_rows):
+                one = met[i].values
+                arrays = [one.field(k).to_numpy(zero_copy_only=False) for k in ("exact", "place", "iplace", "wide")]
+                tokens = [np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("kinds", np.uint8), ("values", np.uint64), ("ikinds", np.uint8), ("ivalues", np.uint64))]
+                lo = int(batch.column("lo")[i].as_py())
+                arrays[1] = arrays[1].astype(np.int64) - lo
+                arrays[2], arrays[3] = arrays[2].astype(np.int64), arrays[3].astype(np.int64)
+                place, covered, same = _held(tuple(arrays), *tokens, width)
+                if covered and (covered >= enough or 100 * covered >= percent * len(tokens[2])):
+                    out.append((i, place + lo, covered, len(tokens[2]), same))
+            if out:
+                at, place, covered, size, same = zip(*out, strict=True)
+                yield core.batch_of(rid=batch.column("rid").take(pa.array(at)), doc_id=batch.column("doc_id").take(pa.array(at)), item_id=batch.column("item_id").take(pa.array(at)), place=pa.array(place, pa.int64()), covered=pa.array(covered, pa.int64()), item_tokens=pa.array(size, pa.int64()), verbatim=pa.array(same))
 
     return run
 
 
+def _items(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item, item_id, kinds, values, size, wins), written, so that ``item`` names a row for good."""
+    rows = core.bounded_batches(benchmark).select("item_id", "text").where("text is not null")
+    made = rows.mapInArrow(_item_windows(window), core.out_schema(rows, "item_id", kinds="binary", values="binary", size="int", wins=WINDOWS))
+    return core.cut(made.where("size(wins) > 0").withColumn("item", F.monotonically_increasing_id()))
+
+
+def _table(items: DataFrame) -> tuple[np.ndarray, list[tuple[int, bool]]]:
+    """The bit table of the items' window hashes, of fixed size, and the shapes of window (at most two a width) that they have."""
+    wins = items.select(F.inline("wins"))
+    at = F.shiftrightunsigned("h", 64 - TABLE_BITS)
+    words = wins.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, " + str(64 - TABLE_BITS) + ") & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return table, sorted((r["wide"], r["exact"]) for r in wins.select("wide", "exact").distinct().collect())
+
+
+def _leaks(found: DataFrame, items: DataFrame, width: int, percent: int, enough: int) -> DataFrame:
+    """(rid, doc_id, item_id, place, covered, item_tokens, verbatim) from documents (rid, doc_id, kinds, values, wins)."""
+    posted = found.select("rid", F.inline("wins"))
+    wins = items.select("item", F.inline("wins")).withColumnRenamed("place", "iplace").withColumnsRenamed({"wide": "iwide", "exact": "iexact"})
+    met = posted.join(wins, "h").where("wide = iwide and exact = iexact").groupBy("rid", "item").agg(F.collect_list(F.struct("exact", "place", "iplace", "wide")).alias("met"))
+    lo, hi = F.array_min(F.transform("met", lambda x: x["place"])), F.array_max(F.transform("met", lambda x: x["place"] + x["wide"]))
+    sides = met.join(found.select("rid", "doc_id", "kinds", "values"), "rid").join(items.select("item", "item_id", F.col("kinds").alias("ikinds"), F.col("values").alias("ivalues")), "item").withColumns({"lo": lo, "n": hi - lo})
+    # only the part of the document that the matches span goes to Python
+    rows = sides.select("rid", "doc_id", "item_id", "lo", "met", F.expr("substring(kinds, lo + 1, n)").alias("kinds"), F.expr("substring(values, 8 * lo + 1, 8 * n)").alias("values"), "ikinds", "ivalues")
+    return rows.mapInArrow(_settle(width, percent, enough), core.out_schema(rows, "rid", "doc_id", "item_id", place="bigint", covered="bigint", item_tokens="bigint", verbatim="boolean"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, percent: int = 50, enough: int = 30) -> DataFrame:
     """(doc_id, item_id, place, covered, item_tokens, verbatim) for each document and item that it holds."""
-    spark = docs.sparkSession
-    slim = core.bounded_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = "doc_id bigint, item_id bigint, place bigint, covered bigint, item_tokens bigint, verbatim boolean"
-    out = spark.createDataFrame([], schema)
-    for k, (ids, texts) in enumerate(_blocks(benchmark)):
-        held = spark.sparkContext.broadcast(Items(ids, texts, window))
-        part = slim.mapInArrow(_scan(held, window, percent, enough, False), schema)
-        out = part if not k else out.unionByName(part)
-    return out
+    items = _items(benchmark, window)
+    table, shapes = _table(items)
+    slim = core.bounded_batches(docs).select("doc_id", "text")
+    scan = _scan(docs.sparkSession.sparkContext.broadcast(table), shapes, False)
+    made = slim.mapInArrow(scan, core.out_schema(slim, "doc_id", kinds="binary", values="binary", wins=WINDOWS))
+    found = core.cut(made.withColumn("rid", F.monotonically_increasing_id()))
+    return _leaks(found, items, window, percent, enough).drop("rid")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, percent: int = 50, enough: int = 30) -> DataFrame:
     """The documents that hold no item, with all their columns."""
+    items = _items(benchmark, window)
+    table, shapes = _table(items)
     rows = core.wrap(docs)
-    for ids, texts in _blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(Items(ids, texts, window))
-        rows = rows.mapInArrow(_scan(held, window, percent, enough, True), rows.schema)
-    return core.unwrap(rows, docs)
+    scan = _scan(docs.sparkSession.sparkContext.broadcast(table), shapes, True)
+    made = rows.mapInArrow(scan, core.out_schema(rows, "row", "text", kinds="binary", values="binary", wins=WINDOWS))
+    made = core.cut(made.withColumn("rid", F.monotonically_increasing_id()))
+    some = F.size("wins") > 0
+    found = made.where(some).select("rid", F.lit(0).alias("doc_id"), "kinds", "values", "wins")
+    bad = _leaks(found, items, window, percent, enough).select("rid").distinct()
+    clean = made.where(some).select("rid", "row", "text").join(bad, "rid", "left_anti").select("row", "text")
+    return core.unwrap(made.where(~some).select("row", "text").unionByName(clean), docs)
