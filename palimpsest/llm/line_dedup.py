@@ -2,14 +2,14 @@
 
 The lines of a text are its \\n-split parts that hold a word; blank lines belong to no window and stay. A window is
 ``width`` (three) consecutive such lines, compared byte for byte by a 64-bit hash. The first occurrence of a window in the
-corpus, by doc_id (null last) and place, stays; the lines covered by later ones go, overlapping windows merged. With ``spare``
-(the rule of the SQL of op10) lines of the first occurrence of a repeated window stay even where a later window laps over them;
-without it (the pipeline) every covered line goes. Either way an equal line stays at an earlier place.
+corpus, by doc_id (null last) and place, stays; every line that a later one covers goes, overlapping windows merged. An equal
+line stays at an earlier place. Ids that are no integers are put in the order of their 64-bit hashes.
 
 Scale. Within a block of a partition all but the first occurrence of a window are settled at once and the first alone is
 posted, with a flag, so that a line held by a third of all documents costs one row a block. Text moves once, by document.
 
-Defined results. Null text: stays null, no lines. Fewer lines than ``width``: nothing goes. Repeated rows (same id and
+Defined results. Empty table: no rows. Null text: stays null, no lines. Empty text: stays empty. Very long texts are worked on
+whole. Fewer lines than ``width``: nothing goes. Repeated rows (same id and
 text) count as one document and keep the same lines. Rows with equal ids and other texts: ties are broken by a hash. Columns
 of the input stay; ``n_lines`` (lines with a word) and ``n_removed`` are added, or replaced.
 """
@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm import core
 
 BLOCK = 2_000_000
 LAST = np.iinfo(np.int64).max
-POSTED = "h bigint, ord bigint, key bigint, p int, multi boolean, sure array<int>"
+POSTED = "h bigint, ord bigint, key bigint, p int, sure array<int>"
 
 
 def _worded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -44,7 +45,6 @@ def _post(block: core.Block) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((p, key, ords, h))
     h, ords, key, p = h[order], ords[order], key[order], p[order]
     first = np.append(True, h[1:] != h[:-1])
-    multi = np.append(~first[1:], False)[first]
     # the same row met again counts as the same place
     at = np.flatnonzero(first)
     run = np.cumsum(first) - 1
@@ -52,7 +52,7 @@ def _post(block: core.Block) -> Iterator[pa.RecordBatch]:
     later = ~same
     for a in range(0, len(at), 100_000):
         i = at[a : a + 100_000]
-        yield core.batch_of(h=pa.array(core.i64(h[i])), ord=pa.array(ords[i]), key=pa.array(key[i]), p=pa.array(p[i].astype(np.int32)), multi=pa.array(multi[a : a + 100_000]), sure=pa.nulls(len(i), pa.list_(pa.int32())))
+        yield core.batch_of(h=pa.array(core.i64(h[i])), ord=pa.array(ords[i]), key=pa.array(key[i]), p=pa.array(p[i].astype(np.int32)), sure=pa.nulls(len(i), pa.list_(pa.int32())))
     if later.any():
         key, p = key[later], p[later]
         order = np.lexsort((p, key))
@@ -64,7 +64,7 @@ def _post(block: core.Block) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(at), 2000):
             lo, m = at[a], n[a : a + 2000]
             k = key[at[a : a + 2000]]
-            yield core.batch_of(h=pa.array(core.i64(core.mix(k.view(np.uint64) ^ np.uint64(0x5BD1E995)))), ord=pa.array(np.full(len(k), LAST)), key=pa.array(k), p=pa.array(np.full(len(k), -2, np.int32)), multi=pa.array(np.zeros(len(k), bool)), sure=core.list_array(p[lo : lo + m.sum()].astype(np.int32), m, pa.int32()))
+            yield core.batch_of(h=pa.array(core.i64(core.mix(k.view(np.uint64) ^ np.uint64(0x5BD1E995)))), ord=pa.array(np.full(len(k), LAST)), key=pa.array(k), p=pa.array(np.full(len(k), -2, np.int32)), sure=core.list_array(p[lo : lo + m.sum()].astype(np.int32), m, pa.int32()))
 
 
 def _windows(width: int) -> Callable:
@@ -97,11 +97,10 @@ def _cover(n: int, at: np.ndarray, places: pa.ListArray, width: int) -> np.ndarr
     return np.cumsum(mark[:-1]) > 0
 
 
-def _rewrite(width: int, spare: bool) -> Callable:
+def _rewrite(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             later = batch.column("later").fill_null([])
-            kept = batch.column("kept").fill_null([]) if spare else None
             texts, lines, gone = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi, buf, offs in core.chunks(batch.column("text")):
                 s, e, n = core.line_spans(buf, offs)
@@ -110,8 +109,6 @@ def _rewrite(width: int, spare: bool) -> Callable:
                 at = np.append(0, np.cumsum(on))[rows]
                 out = np.zeros(len(s), bool)
                 out[on] = _cover(int(on.sum()), at, later.slice(lo, hi - lo), width)
-                if spare:
-                    out[on] &= ~_cover(int(on.sum()), at, kept.slice(lo, hi - lo), width)
                 total = np.append(0, np.cumsum(out))
                 g = total[rows[1:]] - total[rows[:-1]]
                 texts.append(core.join_spans(buf, s[~out], e[~out], n - g, 0x0A))
@@ -126,22 +123,21 @@ def _rewrite(width: int, spare: bool) -> Callable:
     return run
 
 
-def dedup_lines(docs: DataFrame, width: int = 3, counts: bool = True, spare: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, width: int = 3, counts: bool = True) -> DataFrame:
     """The documents without later occurrences of windows of ``width`` lines; see the module for odd cases.
 
     Without ``counts`` no column is added or replaced.
     """
     added = ("n_lines", "n_removed") if counts else ()
     keyed = core.wrap(docs, *added)
-    slim = core.bounded_batches(docs).select(core.text_key().alias("key"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(LAST))).alias("ord"), "text")
+    number = F.col("doc_id").cast("bigint") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    slim = core.bounded_batches(docs).select(core.text_key().alias("key"), F.coalesce(number, F.lit(int(LAST))).alias("ord"), "text")
     posted = slim.mapInArrow(_windows(width), POSTED)
     group = Window.partitionBy("h")
     place = F.struct("ord", "key", "p")
-    judged = posted.withColumn("first", F.min(place).over(group)).withColumn("n", F.count("*").over(group)).withColumn("is_first", place == F.col("first"))
-    aggs = [F.concat(F.collect_set(F.expr("case when sure is null and not is_first then p end")), F.flatten(F.collect_list("sure"))).alias("later")]
-    if spare:
-        aggs.append(F.collect_set(F.expr("case when sure is null and is_first then p end")).alias("kept"))
-    found = judged.where("sure is not null or n > 1 or multi" if spare else "sure is not null or not is_first").groupBy("key").agg(*aggs)
-    rows = keyed.join(found, "key", "left").select("row", "text", "later", *(("kept",) if spare else ()))
-    done = rows.mapInArrow(_rewrite(width, spare), core.out_schema(rows, "row", "text", n_lines="bigint", n_removed="bigint"))
+    judged = posted.withColumn("first", F.min(place).over(group)).withColumn("is_first", place == F.col("first"))
+    later = F.concat(F.collect_set(F.expr("case when sure is null and not is_first then p end")), F.flatten(F.collect_list("sure"))).alias("later")
+    found = judged.where("sure is not null or not is_first").groupBy("key").agg(later)
+    rows = keyed.join(found, "key", "left").select("row", "text", "later")
+    done = rows.mapInArrow(_rewrite(width), core.out_schema(rows, "row", "text", n_lines="bigint", n_removed="bigint"))
     return core.unwrap(done, docs, *added)

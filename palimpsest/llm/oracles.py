@@ -67,9 +67,8 @@ WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WH
 lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS line FROM texts),
 worded AS (SELECT doc_id, p, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 wins AS (SELECT doc_id, k, line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS s FROM worded WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
-ranked AS (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS r, count(*) OVER (PARTITION BY s) AS n FROM wins WHERE s IS NOT NULL),
-covered AS (SELECT DISTINCT doc_id, k + j AS k, r > 1 AS later FROM ranked, (SELECT unnest(range(0, 3)) AS j) WHERE n > 1),
-gone AS (SELECT doc_id, k FROM covered WHERE later EXCEPT SELECT doc_id, k FROM covered WHERE NOT later),
+ranked AS (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS r FROM wins WHERE s IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, k + j AS k FROM ranked, (SELECT unnest(range(0, 3)) AS j) WHERE r > 1),
 places AS (SELECT w.doc_id, w.p FROM worded w JOIN gone g ON g.doc_id = w.doc_id AND g.k = w.k),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM lines ANTI JOIN places USING (doc_id, p) GROUP BY doc_id),
 counts AS (SELECT doc_id, count(*) AS n FROM worded GROUP BY doc_id),
