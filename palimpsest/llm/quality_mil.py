@@ -1,14 +1,16 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A text is cut into passages of ``PASSAGE`` words (the last one may be shorter); all of them are encoded. A passage's figures
-(``FIGURES``) are standardised and mapped by a learned layer to h = tanh(W x + b). A passage weighs
+A text is cut into passages of ``PASSAGE`` words (the last one may be shorter); all of them are encoded, as a row of figures
+(``FIGURES``) beside hashed word n-grams: each word and each pair of neighbours adds +1 or -1 to one of ``HASHED`` places,
+divided by the root of the number of words. The row is standardised and mapped by a learned layer, which thereby learns a
+vector for each place, to h = tanh(W x + b). A passage weighs
 softmax(w . (tanh(V h) * sigmoid(U h))) within its document (gated attention), and the document's score is
 sigmoid(c . sum(weight * h) + d). Only document labels are used in training: Adam on the log loss, by hand-written
 gradients, on a bounded sample (``labelled.MAX_TRAIN``).
 
-Scale. The model is a few hundred numbers; scoring is one pass without a shuffle, over passages in slices.
+Scale. The model is a thousand numbers; scoring is one pass without a shuffle, over passages in slices.
 
-Defined results. Null or empty text, or no word: one passage with figures 0. No usable label: the untrained model's constant
+Defined results. Empty table: no rows. Null or empty text, or no word: one passage with figures 0. No usable label: the untrained model's constant
 score 0.5. Repeated rows get equal scores. Null ids are scored, held_out false. Whole texts are scored.
 """
 
@@ -25,6 +27,9 @@ from palimpsest.llm import core, labelled
 
 PASSAGE, HIDDEN, GATE, EPOCHS, RATE, BATCH, SEED = 100, 12, 8, 40, 0.02, 256, 5
 FIGURES = ("words", "word_length", "long_words", "symbols", "pipes", "exclaims", "capitals", "all_capitals", "digits", "non_ascii", "sentences", "commas", "lines", "distinct", "same_as_before", "same_as_two_before")
+HASHED = 48
+WIDTH = len(FIGURES) + HASHED
+_KIND = core.mix(np.arange(70, 72, dtype=np.uint64))
 
 
 def passages(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +42,7 @@ def passages(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     lo = np.repeat(at[:-1], n) + rank * PASSAGE
     hi = np.minimum(lo + PASSAGE, np.repeat(at[1:], n))
     size = hi - lo
-    x = np.zeros((int(n.sum()), len(FIGURES)))
+    x = np.zeros((int(n.sum()), WIDTH))
     some = size > 0
     if not some.any():
         return x, n
@@ -74,15 +79,26 @@ def passages(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         np.log1p(size), per_word(bytes_), per_word(bytes_ > 14), chars(symbol[buf]), chars(buf == 0x7C), chars(buf == 0x21), chars(upper), per_word(caps), chars((buf >= 48) & (buf <= 57)),
         chars((buf & 0xC0) == 0xC0), per_word((last == 0x2E) | (last == 0x3F)), chars(buf == 0x2C), chars(buf == 10), np.bincount(own[order][new], minlength=len(lo)) / size, per_word(before(1)), per_word(before(2)),
     )
-    x[some] = np.stack(columns, 1)
+    x[some, : len(FIGURES)] = np.stack(columns, 1)
+    x[some, len(FIGURES) :] = hashed(h, own, len(lo)) / np.sqrt(size)[:, None]
     return x, n
 
 
+def hashed(h: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Signed counts by place of the words (hashes ``h``) and neighbours of each of ``n`` passages; ``own`` is a word's passage."""
+    pair = np.flatnonzero(own[1:] == own[:-1])
+    with np.errstate(over="ignore"):
+        grams = core.mix(np.concatenate([h ^ _KIND[0], (h[pair] * core.STEP[0] + h[pair + 1] * core.STEP[1]) ^ _KIND[1]]))
+    at = np.concatenate([own, own[pair]]) * HASHED + (grams >> np.uint64(8)).astype(np.int64) % HASHED
+    sign = 1.0 - 2.0 * (grams & np.uint64(1)).astype(float)
+    return np.bincount(at, sign, minlength=n * HASHED).reshape(n, HASHED)
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, buf, offs in core.chunks(batch.column("text")):
             x, n = passages(buf, offs)
-            yield core.batch_of(rank=batch.column("rank").slice(lo, hi - lo), y=batch.column("y").slice(lo, hi - lo), x=core.list_array(x.astype(np.float32).ravel(), n * len(FIGURES), pa.float32()))
+            yield core.batch_of(rank=batch.column("rank").slice(lo, hi - lo), y=batch.column("y").slice(lo, hi - lo), x=core.list_array(x.astype(np.float32).ravel(), n * WIDTH, pa.float32()))
 
 
 def _sigmoid(v: np.ndarray) -> np.ndarray:
@@ -117,7 +133,7 @@ def _gradients(model: dict, p: np.ndarray, y: np.ndarray, k: dict) -> dict:
 
 def train(batches: list[pa.RecordBatch], epochs: int = EPOCHS) -> dict:
     """Fit on (rank, y, x); the order of documents is fixed by rank."""
-    width = len(FIGURES)
+    width = WIDTH
     examples = []
     for b in batches:
         offs, flat = b.column("x").offsets.to_numpy(), b.column("x").values.to_numpy().astype(float)

@@ -8,7 +8,7 @@ Training is online, document by document in a fixed order, with a learning rate
 most weights stay exactly zero, so the model is a short list of places and weights, at most ``1 << bits``, whatever the
 corpus. The bias is set so that the decision threshold is the best cut on examples held out in turn. It is fitted on a bounded sample (``labelled.MAX_TRAIN``) and broadcast; scoring is one pass without a shuffle.
 
-Defined results. Null or empty text: the score of the bias alone. No usable label: the bias of half a document of each
+Defined results. Empty table: no rows. Null or empty text: the score of the bias alone. No usable label: the bias of half a document of each
 class, score 0.5. Repeated rows get equal scores. Null ids are scored, held_out false. Whole texts are scored.
 """
 
