@@ -86,19 +86,14 @@ def deduped_lines(docs: list[tuple[int, str]], width: int) -> dict[int, tuple[in
     """(lines, removed, kept text) by id, for documents with distinct ids."""
     lines = {i: t.split("\n") for i, t in sorted(docs)}
     own = {i: [k for k, x in enumerate(v) if x.encode().split()] for i, v in lines.items()}
-    count = Counter(tuple(lines[i][k] for k in v[j : j + width]) for i, v in own.items() for j in range(len(v) - width + 1))
     seen, out = set(), {}
     for i, v in own.items():
-        later, first = set(), set()
+        gone = set()
         for j in range(len(v) - width + 1):
             w = tuple(lines[i][k] for k in v[j : j + width])
             if w in seen:
-                later |= set(v[j : j + width])
-            else:
-                seen.add(w)
-                if count[w] > 1:
-                    first |= set(v[j : j + width])
-        gone = later - first
+                gone |= set(v[j : j + width])
+            seen.add(w)
         out[i] = (len(v), len(gone), "\n".join(x for k, x in enumerate(lines[i]) if k not in gone))
     return out
 

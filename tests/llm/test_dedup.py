@@ -74,22 +74,6 @@ def test_lines_match_brute_force(spark, monkeypatch):
         assert got == want
 
 
-def uncovered_lines(docs: list[tuple[int, str]], width: int) -> dict[int, tuple[int, int, str]]:
-    """(lines, removed, kept text) by id, every line under a later occurrence removed."""
-    seen, out = set(), {}
-    for i, text in sorted(docs):
-        lines = text.split("\n")
-        own, gone = [k for k, x in enumerate(lines) if x.encode().split()], set()
-        for j in range(len(own) - width + 1):
-            at = own[j : j + width]
-            w = tuple(lines[k] for k in at)
-            if w in seen:
-                gone |= set(at)
-            seen.add(w)
-        out[i] = (len(own), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
-    return out
-
-
 def test_every_line_under_a_later_window_goes(spark, monkeypatch):
     """A passage goes from the first document of a group of copies too, and so does the pipeline's stage."""
     import corpus_pipeline
@@ -99,16 +83,26 @@ def test_every_line_under_a_later_window_goes(spark, monkeypatch):
     rows = [r for r in odd.documents() if r[0] is not None and r[1] is not None and r[0] not in (1, 7)]
     rows += [(100, passage, *odd.REST), (101, copied, *odd.REST), (102, copied, *odd.REST)]
     texts = [(r[0], r[1]) for r in rows]
-    want = uncovered_lines(texts, 3)
-    assert want[101][1] == 4 and odd.deduped_lines(texts, 3)[101][1] == 0
+    want = odd.deduped_lines(texts, 3)
+    assert want[101][1] == 4
     for block in (2_000_000, 2):
         monkeypatch.setattr(line_dedup, "BLOCK", block)
-        got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(odd.frame(spark, rows), spare=False).collect()}
+        got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(odd.frame(spark, rows)).collect()}
         assert got == want
     staged = corpus_pipeline.line_stage(spark, odd.frame(spark, rows), "")
     assert {r["doc_id"]: r["text"] for r in staged.collect()} == {i: t for i, (_, _, t) in want.items()}
 
 
+def test_lines_of_documents_with_text_ids(spark):
+    """Which occurrence stays goes by a hash of the id then; as many lines go as with numbers."""
+    rows = [r for r in odd.documents() if r[0] is not None and r[1] is not None and r[0] not in (1, 7)]
+    numbers = odd.frame(spark, rows)
+    texts = numbers.selectExpr("concat('id-', doc_id) as doc_id", *[c for c in numbers.columns if c != "doc_id"])
+    got = line_dedup.dedup_lines(texts).collect()
+    assert sum(r["n_lines"] for r in got) == sum(w[0] for w in odd.deduped_lines([(r[0], r[1]) for r in rows], 3).values())
+    assert all(r["n_removed"] <= r["n_lines"] for r in got) and sum(r["n_removed"] for r in got) > 10
+
+
 def test_lines_of_odd_documents(spark):
     got = line_dedup.dedup_lines(odd.frame(spark)).collect()
     assert len(got) == len(odd.documents())
@@ -128,8 +122,7 @@ def test_near_duplicates_match_brute_force(spark, size, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-@pytest.mark.parametrize("small", [0, 1_000_000])
-def test_near_duplicates_in_drifting_groups(spark, monkeypatch, small):
+def test_near_duplicates_in_drifting_groups(spark, monkeypatch):
     """Chains of edits, whose ends are far apart, in one large group, over several blocks."""
     rng = random.Random(1)
     texts = []
@@ -140,15 +133,12 @@ def test_near_duplicates_in_drifting_groups(spark, monkeypatch, small):
                 w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
             texts.append(" ".join(w))
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    monkeypatch.setattr(core, "SMALL_EDGES", small)
     rows = [(i, t, *odd.REST) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(odd.frame(spark, rows), 4).collect()}
     assert got == dict(enumerate(odd.groups(texts, 4, 80)))
 
 
-@pytest.mark.parametrize("small", [0, 1_000_000])
-def test_components(spark, monkeypatch, small):
-    monkeypatch.setattr(core, "SMALL_EDGES", small)
+def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1080)]
     parent = {x: x for p in pairs for x in p}

@@ -80,5 +80,10 @@ def test_query(spark, tiny):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" * 200_000, "7" * 200_000, "-" * 200_000, "a" + " \t" * 300_000 + "b", "\u00a0" * 200_000, "'" * 200_000])
+def test_very_long_runs(text):
+    assert ENCODE([text]) == [EXACT.encode(text, add_special_tokens=False).ids]
+
+
 def test_empty_table(spark):
     assert packing.pack(odd.frame(spark, []), **vocabulary()).collect() == []
