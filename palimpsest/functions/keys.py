@@ -11,8 +11,13 @@ from palimpsest.model import Entity, Flavour
 
 
 def component(name: str, kind: T.DataType) -> Column:
-    """One key part as text: bytes in hexadecimal, booleans T or F, instants encoded, decimals plain."""
+    """One key part as text: bytes in hexadecimal, booleans T or F, instants encoded, decimals plain.
+
+    A text that holds the separator # is refused (KEY-001, when it runs): two keys could become one.
+    """
     c = F.col(name)
+    if isinstance(kind, T.StringType):
+        return F.when(F.contains(c, F.lit("#")), F.raise_error(F.lit(f"KEY-001: {name} holds #"))).otherwise(c)
     if isinstance(kind, T.BinaryType):
         return F.hex(c)
     if isinstance(kind, T.BooleanType):
@@ -23,7 +28,8 @@ def component(name: str, kind: T.DataType) -> Column:
 
 
 def partition_key(e: Entity) -> Column:
-    parts = [component(a.name, a.type) for a in e.attributes if a.key]
+    """v1#ENTITY#part...; a null part is refused (KEY-002, when it runs)."""
+    parts = [F.coalesce(component(a.name, a.type), F.raise_error(F.lit(f"KEY-002: {a.name} is null")).cast("string")) for a in e.attributes if a.key]
     return F.concat_ws("#", F.lit("v1"), F.lit(e.name.upper()), *parts)
 
 

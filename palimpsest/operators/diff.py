@@ -1,7 +1,8 @@
 """Exact comparison of two sets of rows, and checks of one.
 
-Rows are matched by identity: the key and every boundary. What differs is MISSING (expected only), EXTRA (actual only),
-VALUE (a payload column) or TEMPORAL (same key and version start, another end). One full outer join on the identity.
+Rows are matched by identity: the key and every boundary, starts and ends. What differs is MISSING (expected only), EXTRA
+(actual only) or VALUE (a payload column); a row with another end is another row, so MISSING and EXTRA. One aggregate over
+both sides by identity, combined before its only shuffle.
 """
 
 from __future__ import annotations
@@ -32,30 +33,24 @@ def missing_bounds(e: Entity, rows: DataFrame) -> DataFrame:
     return rows.where(test)
 
 
-def _starts(e: Entity) -> list[str]:
-    return e.keys + [a.start for a in e.axes]
-
-
 def compare(e: Entity, expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """A row for each difference: identity, kind, column, and both values as text."""
-    left = expected.select(*e.columns).alias("x")
-    right = actual.select(*e.columns).alias("y")
-    same = F.lit(True)
-    for c in _starts(e):
-        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
-    first = e.keys[0]
-    found = left.join(right, same, "full")
-    checks = [F.struct(F.lit("VALUE").alias("kind"), F.lit(c).alias("column"), F.col(f"x.{c}").cast("string").alias("expected"), F.col(f"y.{c}").cast("string").alias("actual"), (~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))).alias("differs")) for c in e.payload]
-    checks += [F.struct(F.lit("TEMPORAL").alias("kind"), F.lit(a.end).alias("column"), F.col(f"x.{a.end}").cast("string").alias("expected"), F.col(f"y.{a.end}").cast("string").alias("actual"), (~F.col(f"x.{a.end}").eqNullSafe(F.col(f"y.{a.end}"))).alias("differs")) for a in e.axes]
+    """A row for each difference: identity, kind, column, and both values as text. Refused (DIFF-001, when it runs) if one side
+    holds an identity twice."""
+    held = F.struct(*e.payload) if e.payload else F.struct(F.lit(1).alias("_"))
+    both = expected.select(*e.identity, held.alias("x"), F.lit(1).alias("nx"), F.lit(0).alias("ny"))
+    both = both.unionByName(actual.select(*e.identity, held.alias("x"), F.lit(0).alias("nx"), F.lit(1).alias("ny")))
+    side = lambda n: F.max_by("x", n)
+    met = both.groupBy(*e.identity).agg(F.sum("nx").alias("left"), F.sum("ny").alias("right"), side("nx").alias("x"), side("ny").alias("y"))
     text = F.lit(None).cast("string")
 
     def alone(kind: str) -> Column:
         return F.array(F.struct(F.lit(kind).alias("kind"), text.alias("column"), text.alias("expected"), text.alias("actual"), F.lit(True).alias("differs")))
 
-    # a key is never null on a side that has the row
-    diffs = F.when(F.col(f"y.{first}").isNull(), alone("MISSING")).when(F.col(f"x.{first}").isNull(), alone("EXTRA")).otherwise(F.filter(F.array(*checks), lambda d: d["differs"]) if checks else F.expr("null"))
-    ids = [F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in _starts(e)]
-    return found.select(*ids, F.explode(diffs).alias("d")).select(*_starts(e), F.col("d.kind").alias("kind"), F.col("d.column").alias("column"), F.col("d.expected").alias("expected"), F.col("d.actual").alias("actual"))
+    checks = [F.struct(F.lit("VALUE").alias("kind"), F.lit(c).alias("column"), F.col(f"x.`{c}`").cast("string").alias("expected"), F.col(f"y.`{c}`").cast("string").alias("actual"), (~F.col(f"x.`{c}`").eqNullSafe(F.col(f"y.`{c}`"))).alias("differs")) for c in e.payload]
+    twice = F.raise_error(F.lit(f"DIFF-001: {e.name}: two rows have one identity"))
+    same = F.filter(F.array(*checks), lambda d: d["differs"]) if checks else F.slice(alone("VALUE"), 1, 0)
+    diffs = F.when((F.col("left") > 1) | (F.col("right") > 1), twice).when(F.col("right") == 0, alone("MISSING")).when(F.col("left") == 0, alone("EXTRA")).otherwise(same)
+    return met.select(*e.identity, F.explode(diffs).alias("d")).select(*e.identity, *[F.col(f"d.{c}").alias(c) for c in ("kind", "column", "expected", "actual")])
 
 
 def missing(e: Entity, expected: DataFrame, actual: DataFrame) -> DataFrame:

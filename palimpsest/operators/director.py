@@ -19,8 +19,8 @@ A row whose version began at p itself is dropped instead of closed. Without a pr
 mutation destroys what it replaces. Without a business axis [b, u) is all of time.
 
 ``fold`` applies whole logs, a key at a time, as one array expression a key: native, no Python. Its cost for a key grows with
-the key's mutations times its rectangles, and a key's log is one array. ``tick`` applies one mutation at most to each key by
-joins and suits any amount of keys and of rows a key. ``value_as_of`` answers as-of questions on a log itself, without
+the key's mutations times its rectangles, and a key's log is one array. ``tick`` applies one mutation at most to each key
+(DIR-006 otherwise), with the same results and refusals, by joins, and suits any amount of keys and of rows a key. ``value_as_of`` answers as-of questions on a log itself, without
 rectangles, by aggregates that combine before the shuffle.
 """
 
@@ -89,11 +89,12 @@ class _Step:
         tail = f"case when r.t > m.u then {self.rect('m.u', 'r.t', 'm.p', inf, self.old())} end"
         split = f"flatten(transform(filter(acc, r -> {hit}), r -> filter(array({closed}, {head}, {middle}, {tail}), x -> x is not null)))"
         kept = f"filter(acc, r -> not {hit})"
-        changed = f"concat({kept}, {split})"
+        changed = self.changed = f"concat({kept}, {split})"
         gap_end = f"least(m.u, coalesce(array_min(transform(filter(acc, r -> {hit}), r -> r.f)), m.u))"
         refused = f"exists(acc, r -> {holds_b})"
         gap = f"array({self.rect('m.b', gap_end, 'm.p', inf, self.given())})"
         with_gap = f"case when {refused} then raise_error('DIR-001: a current row holds the date of an insert with increment') else concat({changed}, {gap}) end"
+        self.hit, self.holds_b = hit, holds_b
         clash = f"exists(acc, r -> {hit} and m.b < m.u)"
         insert = f"case when {clash} then raise_error('DIR-002: an insert overlaps a current row') else concat(acc, array({self.rect('m.b', 'm.u', 'm.p', inf, self.given())})) end"
         recover = f"case when m.b = m.u or m.p = m.p_to then raise_error('DIR-003: a recovered row of zero length') else concat(acc, array({self.rect('m.b', 'm.u', 'm.p', f'coalesce(m.p_to, {inf})', self.given())})) end"
@@ -174,16 +175,29 @@ def fold(e: Entity, log: DataFrame, start: DataFrame | None = None) -> DataFrame
 
 
 def tick(e: Entity, rows: DataFrame, mutations: DataFrame) -> DataFrame:
-    """The rows after at most one mutation a key (change, insert or purge), by joins: no key is gathered in one place."""
-    log = _log(e, mutations).select(*e.keys, F.struct("op", "b", "u", "p", "p_to", *e.payload).alias("m"))
+    """The rows after at most one mutation a key, by joins: no key is gathered in one place."""
+    names = ("op", "b", "u", "p", "p_to", *e.payload)
+    log = _log(e, mutations).groupBy(*e.keys).agg(F.count("*").alias("n"), F.first(F.struct(*names)).alias("m"))
+    log = log.select(*e.keys, F.when(F.col("n") > 1, F.raise_error(F.lit("DIR-006: more than one mutation of a key"))).otherwise(F.col("m")).alias("m"))
     step = _Step(e.payload, _numeric(e), e.processing.future_expiring if e.processing and e.business else True, INFINITY)
-    kind = f"array<{_rect_type(e)}>"
-    # each row on its own: the step on an array of this row alone, inserts left out
-    simple = f"case when m is null or m.op in ({_quoted(INSERTS)}) then array(r) else cast({step.sql()} as {kind}) end"
-    changed = _as_rects(e, rows).join(log, e.keys, "left").withColumn("acc", F.array("r"))
-    changed = _rows(e, changed.select(*e.keys, F.explode(F.expr(simple)).alias("r")))
-    fresh = log.where("m.op in ('insert', 'insert_until', 'recover')").withColumn("acc", F.expr(f"cast(array() as {kind})"))
-    fresh = _rows(e, fresh.select(*e.keys, F.explode(F.expr(f"cast({step.sql()} as {kind})")).alias("r")))
+    sql, kind = step.sql(), f"array<{_rect_type(e)}>"
+    # each row on its own: the step on an array of this row alone; what is new is added below
+    added = "m.op in ('insert', 'insert_until', 'recover')"
+    filled = "m.op in ('insert_with_increment', 'insert_with_increment_until')"
+    alone = f"case when m is null or {added} then array(r) when {filled} then cast({step.changed} as {kind}) else cast({sql} as {kind}) end"
+    rects = _as_rects(e, rows)
+    changed = rects.join(log, e.keys, "left").withColumn("acc", F.array("r"))
+    changed = _rows(e, changed.select(*e.keys, F.explode(F.expr(alone)).alias("r")))
+    # a new rectangle depends on the current rows of its key by three aggregates only
+    fresh = log.where(f"{added} or {filled}").join(rects, e.keys, "left").groupBy(*e.keys).agg(
+        F.first("m").alias("m"), F.expr(f"bool_or({step.hit} and m.b < m.u)").alias("clash"), F.expr(f"bool_or({step.holds_b})").alias("held"), F.expr(f"min(case when {step.hit} then r.f end)").alias("next"))
+    inf = _ts(INFINITY)
+    new = f"""case
+        when {added} and m.op <> 'recover' and clash then raise_error('DIR-002: an insert overlaps a current row')
+        when {filled} and held then raise_error('DIR-001: a current row holds the date of an insert with increment')
+        when m.op = 'recover' and (m.b = m.u or m.p = m.p_to) then raise_error('DIR-003: a recovered row of zero length')
+        else {step.rect('m.b', f'case when {filled} then least(m.u, coalesce(next, m.u)) else m.u end', 'm.p', f"case when m.op = 'recover' then coalesce(m.p_to, {inf}) else {inf} end", step.given())} end"""
+    fresh = _rows(e, fresh.select(*e.keys, F.expr(f"cast({new} as {_rect_type(e)})").alias("r")))
     return changed.unionByName(fresh)
 
 
@@ -219,19 +233,52 @@ def cascade(parents: DataFrame, related: DataFrame, on: list[tuple[str, str]], k
     return parents.alias("p").join(related.alias("c"), test).select(*[F.col(f"c.{k}").alias(k) for k in keys], *[F.col(f"p.{x}").alias(x) for x in ("op", "b", "u", "p", "seq") if x in parents.columns]).distinct()
 
 
+def _sweep(keys: list[str], bounds: tuple[str, str, str, str]):
+    """Over rows in order of key and processing start: those that meet a row still open, on both axes.
+
+    What is held is the rows of one key that are open on the processing axis, not its log.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        own, held = None, np.zeros((0, 3), np.int64)
+        for batch in batches:
+            f, t, i, o = (batch.column(c).cast(pa.int64()).to_numpy() for c in bounds)
+            names = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
+            bad = np.zeros(batch.num_rows, bool)
+            for r in range(batch.num_rows):
+                if names[r] != own:
+                    own, held = names[r], np.zeros((0, 3), np.int64)
+                if len(held):
+                    held = held[held[:, 2] > i[r]]
+                    bad[r] = bool(((held[:, 0] < t[r]) & (held[:, 1] > f[r])).any())
+                held = np.concatenate([held, [[f[r], t[r], o[r]]]])
+            yield batch.filter(pa.array(bad))
+
+    return run
+
+
 def history_overlaps(e: Entity, rows: DataFrame) -> DataFrame:
-    """Pairs of rectangles of one key that hold at the same time on all axes; empty for a sound history.
+    """The rows that hold at the same time, on all axes, as an earlier one of their key; empty for a sound history.
 
-    A version that begins before another of the same key ends is found by sorting each key's rows, not by pairing them: on
-    the current rows (and on any single processing instant) only neighbours can be the first to overlap.
+    Earlier is by processing start, then business start and ends. Rows of zero length hold never. With one axis a window
+    compares each row with the largest end before it. With two, rows are sorted by key and processing start and swept: each is
+    compared with the rows of its key that are open then, closed versions included.
     """
+    live = F.lit(True)
+    for a in e.axes:
+        live = live & (F.col(a.start) < F.col(a.end))
+    rows = rows.where(live)
+    if e.business and e.processing:
+        bounds = (e.business.start, e.business.end, e.processing.start, e.processing.end)
+        kept = rows.select(*e.columns)
+        placed = kept.repartition(*e.keys).sortWithinPartitions(*e.keys, bounds[2], bounds[0], bounds[1], bounds[3])
+        return placed.mapInArrow(_sweep(e.keys, bounds), kept.schema)
     from pyspark.sql import Window
 
-    axis = e.business or e.processing
-    live = F.col(axis.start) < F.col(axis.end)
-    if e.business and e.processing:
-        rows = rows.where(F.col(e.processing.end) == instant(e.processing.infinity))
+    axis = e.axes[0]
     w = Window.partitionBy(*e.keys).orderBy(axis.start, axis.end)
     prior = F.max(axis.end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.where(live).withColumn("prior_end", prior).where(F.col("prior_end") > F.col(axis.start))
-
+    return rows.withColumn("prior_end", prior).where(F.col("prior_end") > F.col(axis.start))

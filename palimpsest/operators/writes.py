@@ -53,10 +53,23 @@ def purge(e: Entity, held: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def upsert(e: Entity, held: DataFrame, new: DataFrame) -> DataFrame:
-    """The table with the new rows, over what they replace."""
+    """The table with the new rows, over what they replace; refused if an identity is twice among the new."""
+    if not new.groupBy(*e.identity).count().where("count > 1").isEmpty():
+        raise QueryError("WRITE-004", f"{e.name}: one batch writes an identity twice")
     return held.join(new.select(*e.identity), e.identity, "left_anti").unionByName(new)
 
 
+def first_failure(e: Entity, held: DataFrame, inserts: DataFrame, priors: DataFrame) -> DataFrame:
+    """The first failing slot of a unit of work, by ``slot``, and why: unique key violated, or a row changed since it was read.
+
+    ``inserts`` are new rows and ``priors`` the images that updates and deletes start from, each with its slot. No row: none
+    fails.
+    """
+    taken = insert_conflicts(e, held, inserts).select("slot", F.lit("WRITE-001").alias("code"))
+    changed = stale(e, held, priors).select("slot", F.lit("WRITE-002").alias("code"))
+    return taken.unionByName(changed).agg(F.min_by(F.struct("slot", "code"), "slot").alias("x")).where("x is not null").select("x.slot", "x.code")
+
+
 def delete_where(held: DataFrame, condition: Column) -> DataFrame:
     """The table without the rows that meet a condition; those for which it is null stay."""
     return held.where(~F.coalesce(condition, F.lit(False)))

@@ -17,6 +17,10 @@ from palimpsest.functions.temporal import EDGE, When, as_of, overlaps
 from palimpsest.model import Entity, QueryError
 
 
+#: A partition column is read back as text.
+OPEN = "cast(is_current as boolean)"
+
+
 @dataclass(frozen=True)
 class Finder:
     entity: Entity
@@ -65,7 +69,7 @@ class Finder:
         infinity = self.entity.processing.infinity if self.entity.processing else None
         wanted = self.processing if self.processing is not None else self.entity.processing.default if self.entity.processing else None
         if infinity and isinstance(wanted, dt.datetime) and wanted == infinity and "is_current" in df.columns:
-            df = df.where("is_current")
+            df = df.where(OPEN)
         df = as_of(df, self.entity, self.business, self.processing).select(*self.entity.columns)
         if self.condition is not None:
             df = df.where(self.condition)
@@ -102,6 +106,13 @@ class Finder:
         """Rows one by one, a partition at a time on the driver."""
         return self.find().toLocalIterator(prefetchPartitions=True)
 
+    def counters(self) -> DataFrame:
+        """One row: rows examined (of the table or, for open rows, of its current partition) and rows returned."""
+        current = "is_current" in self.rows.columns and (self.processing or self.entity.processing.default) == self.entity.processing.infinity
+        held = self.rows.where(OPEN) if current else self.rows
+        # two one-row tables
+        return held.agg(F.count("*").alias("examined")).join(replace(self, order=()).find().agg(F.count("*").alias("returned")))
+
     def explain(self) -> dict[str, str]:
         """The access path in a word, and Spark's plan."""
         df = self.find()

@@ -100,6 +100,64 @@ for _name, _op, _until, _value, _parts in (
     query(_name, _rects(*_parts))(lambda spark, d, op=_op, until=_until, value=_value: _mutated(spark, d, op, until, value))
 
 
+_V = "d1 - INTERVAL 30 DAY"
+_GAP, _WIDE = f"v, {_V}, d1, {_T1}, {INF}", "d1 + INTERVAL 30 DAY"
+_BOUNDED = (_CLOSED, _GAP, f"1.0 + v, d1, {_WIDE}, {_T1}, {INF}", f"1.0, {_WIDE}, {INF}, {_T1}, {INF}")
+_OPEN = (_CLOSED, _GAP, f"1.0 + v, d1, {INF}, {_T1}, {INF}")
+
+
+def _filled(spark: SparkSession, d: str, apply, until: bool) -> DataFrame:
+    """An insert with increment 30 days before the first row of each customer: a gap filled, the rest incremented."""
+    rows, first = _start(spark, d)
+    op, end = ("insert_with_increment_until", "d1 + interval 30 days") if until else ("insert_with_increment", "cast(null as timestamp_ntz)")
+    log = first.select("o_custkey", F.lit(op).alias("op"), F.expr("d1 - interval 30 days").alias("b"), F.expr(end).alias("u"), F.expr("TIMESTAMP_NTZ '2002-02-01'").alias("p"), F.lit(1).alias("seq"), F.col("v").alias("value"))
+    return apply(rows, log).select("o_custkey", "value", *[encode(c).alias(c.lower()) for c in BELIEF.bounds])
+
+
+for _name, _apply, _bounded in (
+    ("fold_insert_with_increment", lambda rows, log: director.fold(BELIEF, log, rows), False),
+    ("fold_insert_with_increment_until", lambda rows, log: director.fold(BELIEF, log, rows), True),
+    ("tick_insert_with_increment", lambda rows, log: director.tick(BELIEF, rows, log), False),
+    ("tick_insert_with_increment_until", lambda rows, log: director.tick(BELIEF, rows, log), True),
+):
+    query(_name, _rects(*(_BOUNDED if _bounded else _OPEN)))(lambda spark, d, apply=_apply, until=_bounded: _filled(spark, d, apply, until))
+
+
+@query("terminate_and_reinsert", _rects(_CLOSED, _HEAD, f"v, d2 + INTERVAL 10 DAY, {INF}, TIMESTAMP '2002-03-01', {INF}"))
+def terminate_and_reinsert(spark: SparkSession, d: str) -> DataFrame:
+    """A second life: ended at the last order, begun anew ten days later."""
+    rows, first = _start(spark, d)
+    none = F.lit(None).cast("timestamp_ntz").alias("u")
+    ended = first.select("o_custkey", F.lit("terminate").alias("op"), F.col("d2").alias("b"), none, F.expr("TIMESTAMP_NTZ '2002-02-01'").alias("p"), F.lit(1).alias("seq"), F.lit(None).cast("double").alias("value"))
+    again = first.select("o_custkey", F.lit("insert").alias("op"), F.expr("d2 + interval 10 days").alias("b"), none, F.expr("TIMESTAMP_NTZ '2002-03-01'").alias("p"), F.lit(2).alias("seq"), F.col("v").alias("value"))
+    out = director.fold(BELIEF, ended.unionByName(again), rows)
+    return out.select("o_custkey", "value", *[encode(c).alias(c.lower()) for c in BELIEF.bounds])
+
+
+#: Operations with their begin and end, on customers with a row from d1 to d2 + 60 days.
+_TRIED = (
+    ("insert", "d2 + interval 90 days", None), ("insert_until", "d2 + interval 90 days", "d2 + interval 99 days"), ("update", "d1 + interval 3 days", None), ("update_until", "d1 + interval 3 days", "d2 + interval 5 days"),
+    ("increment", "d1", None), ("increment_until", "d1 - interval 9 days", "d2 + interval 70 days"), ("terminate", "d2", None), ("terminate_until", "d1", "d2 + interval 1 day"), ("in_place", "d1", None), ("purge", "d1", None),
+    ("archive", "d1", "d2 + interval 1 day"), ("recover", "d2 + interval 70 days", "d2 + interval 80 days"), ("insert_with_increment", "d1 - interval 5 days", None), ("insert_with_increment_until", "d1 - interval 5 days", "d1 + interval 5 days"),
+)
+
+
+@query("tick_matches_fold", f"SELECT unnest([{', '.join(repr(t[0]) for t in _TRIED)}]) AS op, CAST(0 AS BIGINT) AS differing")
+def tick_matches_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Every operation by joins and by the fold of logs: rectangles that only one of them makes."""
+    _, first = _start(spark, d)
+    at = lambda x: F.expr(x).cast("timestamp_ntz")
+    start = first.select("o_custkey", F.lit("insert_until").alias("op"), F.col("d1").alias("b"), at("d2 + interval 60 days").alias("u"), at("TIMESTAMP_NTZ '2002-01-01'").alias("p"), F.lit(0).alias("seq"), F.lit(1.0).alias("value"))
+    rows, out = director.fold(BELIEF, start), None
+    for op, b, u in _TRIED:
+        log = first.select("o_custkey", F.lit(op).alias("op"), at(b).alias("b"), at(u or "null").alias("u"), at("TIMESTAMP_NTZ '2002-02-01'").alias("p"), at("TIMESTAMP_NTZ '2003-01-01'").alias("p_to"), F.lit(1).alias("seq"), F.col("v").alias("value"))
+        a, c = director.tick(BELIEF, rows, log), director.fold(BELIEF, log, rows)
+        both = a.withColumn("n", F.lit(1)).unionByName(c.select(*a.columns).withColumn("n", F.lit(-1)))
+        part = both.groupBy(*a.columns).agg(F.sum("n").alias("n")).where("n <> 0").agg(F.lit(op).alias("op"), F.count("*").alias("differing"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("tick_purge", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 2 = 1")
 def tick_purge(spark: SparkSession, d: str) -> DataFrame:
     rows, first = _start(spark, d)

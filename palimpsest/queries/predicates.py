@@ -168,14 +168,7 @@ def agg_group_having(spark: SparkSession, d: str) -> DataFrame:
     return _orders(spark, d).where(O["o_orderstatus"].not_eq("P")).aggregate(["o_custkey"], (F.col("n") >= 5) & ((F.col("top") > 200000) | (F.col("n") != 6)), n=F.count("*"), top=F.max("o_totalprice"), total=total)
 
 
-@query("compute_function", "SELECT o_orderkey, upper(substring(o_orderpriority, 3)) AS word, year(o_orderdate) AS y, o_totalprice * 2 AS twice FROM orders WHERE o_custkey < 200")
+@query("compute_function", "SELECT o_orderkey, upper(substring(o_orderpriority, 3)) AS word, year(o_orderdate) AS y, o_totalprice * 2 AS twice FROM orders")
 def compute_function(spark: SparkSession, d: str) -> DataFrame:
-    out = _orders(spark, d).where(O["o_custkey"].lt(200)).compute(word="upper(substring(o_orderpriority, 3))", y="cast(year(o_orderdate) as bigint)", twice="o_totalprice * 2")
-    return out.select("o_orderkey", "word", "y", "twice")
-
-
-@query("compute_function_whole", "SELECT o_orderkey, upper(substring(o_orderpriority, 3)) AS word, year(o_orderdate) AS y, o_totalprice * 2 AS twice FROM orders")
-def compute_function_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all orders."""
     out = _orders(spark, d).compute(word="upper(substring(o_orderpriority, 3))", y="cast(year(o_orderdate) as bigint)", twice="o_totalprice * 2")
     return out.select("o_orderkey", "word", "y", "twice")

@@ -70,14 +70,8 @@ def asof_infinity_both(spark: SparkSession, d: str) -> DataFrame:
     return as_of(director.fold(BELIEF, log_of(spark, d, "updates")), BELIEF, INFINITY, INFINITY).select("o_custkey", "value")
 
 
-@query("history_edge_points", f"WITH {USER_STATE} SELECT user_id, event_id, strftime(IN_Z, {TEXT}) AS since, strftime(OUT_Z, {TEXT}) AS until FROM user_state WHERE user_id < 20")
+@query("history_edge_points", f"WITH {USER_STATE} SELECT user_id, event_id, strftime(IN_Z, {TEXT}) AS since, strftime(OUT_Z, {TEXT}) AS until FROM user_state")
 def history_edge_points(spark: SparkSession, d: str) -> DataFrame:
-    f = Finder(STATE, user_state(spark, d)).edge_points()
-    return f.where(f.user_id.lt(20)).find().select("user_id", "event_id", encode("IN_Z").alias("since"), encode("OUT_Z").alias("until"))
-
-
-@query("history_edge_points_whole", f"WITH {USER_STATE} SELECT user_id, event_id, strftime(IN_Z, {TEXT}) AS since, strftime(OUT_Z, {TEXT}) AS until FROM user_state")
-def history_edge_points_whole(spark: SparkSession, d: str) -> DataFrame:
     """Every physical rectangle of all users."""
     return Finder(STATE, user_state(spark, d)).edge_points().find().select("user_id", "event_id", encode("IN_Z").alias("since"), encode("OUT_Z").alias("until"))
 
@@ -90,16 +84,8 @@ def zero_length_invisible(spark: SparkSession, d: str) -> DataFrame:
     return cust_priority(spark, d).agg(F.count("*").alias("all_rows"), count(zero).alias("zero_length"), count(zero & holds(PRIORITY.business, B)).alias("seen"))
 
 
-@query("history_ordered", f"WITH {CUST_PRIORITY} SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY FROM_Z, o_orderkey) AS version FROM cust_priority WHERE o_custkey < 50")
+@query("history_ordered", f"WITH {CUST_PRIORITY} SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY FROM_Z, o_orderkey) AS version FROM cust_priority")
 def history_ordered(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = Finder(PRIORITY, cust_priority(spark, d)).edge_points().where(F.col("o_custkey") < 50).find()
-    return rows.withColumn("version", F.row_number().over(Window.partitionBy("o_custkey").orderBy("FROM_Z", "o_orderkey")).cast("bigint")).select("o_custkey", "o_orderkey", "version")
-
-
-@query("history_ordered_whole", f"WITH {CUST_PRIORITY} SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY FROM_Z, o_orderkey) AS version FROM cust_priority")
-def history_ordered_whole(spark: SparkSession, d: str) -> DataFrame:
     """The versions of all customers."""
     from pyspark.sql import Window
 
@@ -113,9 +99,9 @@ _THEN, _NOW = "TIMESTAMP '1998-07-01'", INF
 @query("belief_then_vs_now", f"WITH {belief_log('updates')}, before AS ({asof_sql(_B, _THEN)}), after AS ({asof_sql(_B, _NOW)}) SELECT o_custkey, before.value AS believed_then, after.value AS believed_now, before.value <> after.value AS corrected FROM before JOIN after USING (o_custkey)")
 def belief_then_vs_now(spark: SparkSession, d: str) -> DataFrame:
     """One business date as it was known then, and as it is known now."""
-    rows = director.fold(BELIEF, log_of(spark, d, "updates"))
-    then = as_of(rows, BELIEF, B, dt.datetime(1998, 7, 1)).select("o_custkey", F.col("value").alias("believed_then"))
-    now = as_of(rows, BELIEF, B, INFINITY).select("o_custkey", F.col("value").alias("believed_now"))
+    log = log_of(spark, d, "updates")
+    then = director.value_as_of(log, ["o_custkey"], B, dt.datetime(1998, 7, 1)).select("o_custkey", F.col("value").alias("believed_then"))
+    now = director.value_as_of(log, ["o_custkey"], B, INFINITY).select("o_custkey", F.col("value").alias("believed_now"))
     return then.join(now, "o_custkey").withColumn("corrected", F.col("believed_then") != F.col("believed_now"))
 
 
@@ -138,10 +124,10 @@ def derive_business_versions(spark: SparkSession, d: str) -> DataFrame:
     return cust_priority(spark, d).groupBy("o_custkey").agg(F.count("*").alias("versions"), F.max("o_orderkey").alias("newest"))
 
 
-@query("date_range_overlap", f"WITH {BELIEF_LINE} SELECT l_orderkey, l_linenumber, strftime(FROM_Z, {TEXT}) AS since FROM belief_line WHERE o_custkey < 100 AND FROM_Z < TIMESTAMP '1998-09-01' AND THRU_Z > {_B}")
+@query("date_range_overlap", f"WITH {BELIEF_LINE} SELECT l_orderkey, l_linenumber, strftime(FROM_Z, {TEXT}) AS since FROM belief_line WHERE FROM_Z < TIMESTAMP '1998-09-01' AND THRU_Z > {_B}")
 def date_range_overlap(spark: SparkSession, d: str) -> DataFrame:
     f = Finder(LINE, belief_line(spark, d))
-    return f.where(f.o_custkey.lt(100)).between_dates(B, dt.datetime(1998, 9, 1)).select("l_orderkey", "l_linenumber", encode("FROM_Z").alias("since"))
+    return f.between_dates(B, dt.datetime(1998, 9, 1)).select("l_orderkey", "l_linenumber", encode("FROM_Z").alias("since"))
 
 
 @query("temporal_encode", f"SELECT event_id, strftime(date_trunc('millisecond', ts), {TEXT}) AS text, TRUE AS back, date_trunc('millisecond', ts) = ts AS whole FROM events")

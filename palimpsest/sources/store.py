@@ -113,6 +113,12 @@ def commit_all(spark: SparkSession, root: str, tables: dict[str, DataFrame], aft
     return manifest.switch(base, {name: VersionedTable(spark, root, name).stage(df) for name, df in tables.items()})
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one named by spark.checkpoint.dir, or, where that is unset, below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def current_layout(e: Entity, rows: DataFrame) -> DataFrame:
     """Rows with ``is_current`` (partition by it) so that reads of what is open now touch no closed version."""
     from palimpsest.functions.keys import is_current

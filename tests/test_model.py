@@ -174,6 +174,10 @@ def test_encoding(spark):
 
 def test_keys(spark, balance):
     row = balance.where("label = 't1'").select(K.partition_key(BALANCE).alias("p"), K.sort_key(BALANCE).alias("s"), K.sort_key(VALUES).alias("n")).first()
+    named = Entity("Named", (Attribute("a", STRING, key=True), Attribute("b", STRING, key=True)))
+    for bad, code in ((("a#b", "c"), "KEY-001"), ((None, "c"), "KEY-002")):
+        with pytest.raises(Exception, match=code):
+            balance.sparkSession.createDataFrame([bad], "a string, b string").select(K.partition_key(named)).collect()
     assert tuple(row) == ("v1#BALANCE#201", "v1#P#20260301090000000#B#20260101000000000", "v1#ND")
 
 

@@ -158,6 +158,8 @@ def test_writes(spark):
         writes.delete(e, held, table((2, "stale")))
     assert rows(writes.delete(e, held, table((2, "stale"), (1, "a")), quietly=True)) == [(2, None), (3, "c")]
     assert rows(writes.upsert(e, held, table((2, "z"), (7, "n")))) == [(1, "a"), (2, "z"), (3, "c"), (7, "n")]
+    with pytest.raises(QueryError, match="WRITE-004"):
+        writes.upsert(e, held, table((2, "z"), (2, "y")))
     assert rows(writes.purge(e, held, table((1, None)))) == [(2, None), (3, "c")]
     assert rows(writes.delete_where(held, F.col("v") == "a")) == [(2, None), (3, "c")]
     assert rows(writes.update_where(held, F.col("v") != "a", {"v": F.lit("w")})) == [(1, "a"), (2, None), (3, "w")]
@@ -174,7 +176,12 @@ def test_diff(spark):
     want = table((1, "a", INF), (2, None, INF), (3, "c", INF), (4, "d", P1))
     got = table((1, "a", INF), (2, "b", P1), (4, "d", INF), (5, None, INF))
     found = sorted((r["k"], r["kind"], r["column"] or "") for r in diff.compare(e, want, got).collect())
-    assert found == [(2, "TEMPORAL", "OUT_Z"), (2, "VALUE", "v"), (3, "MISSING", ""), (4, "TEMPORAL", "OUT_Z"), (5, "EXTRA", "")]
+    # a row with another end is another row
+    assert found == [(2, "EXTRA", ""), (2, "MISSING", ""), (3, "MISSING", ""), (4, "EXTRA", ""), (4, "MISSING", ""), (5, "EXTRA", "")]
+    other = table((1, "x", INF), (2, None, INF), (3, "c", INF), (4, "d", P1))
+    assert [tuple(r) for r in diff.compare(e, want, other).select("k", "kind", "column", "expected", "actual").collect()] == [(1, "VALUE", "v", "a", "x")]
+    with pytest.raises(Exception, match="DIFF-001"):
+        diff.compare(e, want, want.unionByName(want)).collect()
     assert diff.compare(e, want, want).isEmpty()
     assert tuple(diff.verify(e, want, want).first()) == (4, 4, 0, True)
     assert tuple(diff.verify(e, want.limit(0), want).first()) == (0, 0, 0, False)
@@ -258,3 +265,32 @@ def test_decision_tables(spark):
     assert got == {1: (1, "LOW"), 2: (2, "TIE"), 3: (0, "UNCLASSIFIED"), 4: (0, "UNCLASSIFIED"), 5: (0, "UNCLASSIFIED")}
     with pytest.raises(ValueError, match="RULE-001"):
         rules.classify(rows, ["k"], held, spark.createDataFrame([(1, "s", "LT", "a", None, None)], kind), ["x"], ["s"])
+
+
+def test_tick_refuses_what_fold_refuses(spark):
+    base = (1, "insert", B1, None, P0, 0, 1.0, "a", None)
+    held = director.fold(E, spark.createDataFrame([base], LOG))
+    for row, code in (((1, "insert", B1, None, P1, 1, 2.0, "b", None), "DIR-002"), ((1, "insert_with_increment", B1, None, P1, 1, 2.0, "b", None), "DIR-001")):
+        for apply in (lambda log: director.fold(E, log, held), lambda log: director.tick(E, held, log)):
+            with pytest.raises(Exception, match=code):
+                apply(spark.createDataFrame([row], LOG)).collect()
+    two = spark.createDataFrame([(1, "update", B1, None, P1, 1, 2.0, "b", None), (1, "update", B1, None, P1, 2, 3.0, "c", None)], LOG)
+    with pytest.raises(Exception, match="DIR-006"):
+        director.tick(E, held, two).collect()
+
+
+def test_overlaps_match_all_pairs(spark):
+    """Random rectangles of a few keys, closed and open ones and some of zero length, against a comparison of all pairs."""
+    rng = random.Random(3)
+    day = lambda n: dt.datetime(2000, 1, 1) + dt.timedelta(days=n)
+    made = []
+    for k in range(12):
+        for _ in range(rng.randrange(1, 14)):
+            f, i = rng.randrange(60), rng.randrange(60)
+            made.append((k, 1.0, "x", day(f), day(f + rng.randrange(15)), day(i), INF if rng.random() < 0.2 else day(i + rng.randrange(15))))
+    rows = spark.createDataFrame([(m[0], m[1], m[2], *m[3:]) for m in made], E.schema())
+    live = sorted((m for m in made if m[3] < m[4] and m[5] < m[6]), key=lambda m: (m[0], m[5], m[3], m[4], m[6]))
+    want = [x for n, x in enumerate(live) if any(y[0] == x[0] and y[3] < x[4] and y[4] > x[3] and y[5] < x[6] and y[6] > x[5] for y in live[:n])]
+    got = director.history_overlaps(E, rows).collect()
+    assert len(got) == len(want) > 10
+    assert sorted(tuple(r) for r in got) == sorted(want)
