@@ -14,14 +14,20 @@ Method.
    values that others have drops out at once.
 4. Star rounds: each posting list has a hub; every node is checked exactly against the two hubs that it collides with most.
    Two checks a node, linear however long the list, and groups of copies melt into components.
-5. Lists that still hold several components are merged in blocks of bounded size, between components only: pairs with T
-   agreeing values are checked exactly where they meet, each in one list (first signatures alone, then, for the nodes that
-   have a candidate, full sets), and a link that joins two components ends their comparison. So no candidate pair is left out unless it is connected already, and a block gives fewer links than rows.
+5. Of the nodes in lists that still hold several components the shingles are counted. Let c be the number of a node's
+   shingles that another such node has, n that of all. A link needs at least p / (1 + p) * (n + n') common shingles, at
+   most c and c' of them; so a node with c < p n has no link, and of two linked nodes one at least has
+   c >= 2 p n / (1 + p). Those are heavy, the others light, and light nodes are not compared with each other: pages of one
+   template with a text of their own each, however many, are all light.
+6. Such lists are merged in blocks of bounded size, heavy nodes with heavy and light ones, between components only: pairs
+   with T agreeing values are checked exactly where they meet, each in one list (first signatures alone, then, for the
+   nodes that have a candidate, full sets), and a link that joins two components ends their comparison. So no candidate
+   pair is left out unless it cannot be a link or is connected already, and a block gives fewer links than rows.
 
 Scale. Counts and minima are pre-aggregated before shuffles; joins are by key and can be split when skewed; blocks bound
 what one task holds. Texts move once, for nodes that have candidates. Intermediate tables are in the shared folder.
 
-Defined results. Null or blank text: no shingles, a group of its own. Rows with equal sets are one group, repeated rows too.
+Defined results. Empty table: no rows. Very long texts are worked on whole; other columns are not read. Null or blank text: no shingles, a group of its own. Rows with equal sets are one group, repeated rows too.
 Null ids: a group's id is its smallest non-null id; kept is then null-safe equality with it.
 """
 
@@ -109,6 +115,23 @@ def _sets(size: int) -> Callable:
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (node, shingle) for each member of the sets."""
+    for batch in batches:
+        nodes = batch.column("node").to_numpy()
+        for lo in range(0, batch.num_rows, 256):
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles").slice(lo, 256)]
+            yield core.batch_of(node=pa.array(np.repeat(nodes[lo : lo + 256], [len(x) for x in sets])), shingle=pa.array(np.concatenate(sets)))
+
+
+def _heavy(some: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, heavy) of the nodes of ``some`` (node, n) that can have a link among themselves; see step 5."""
+    held = sets.join(some.select("node"), "node").select("node", "shingles").mapInArrow(_shingles, "node bigint, shingle bigint")
+    alone = held.groupBy("shingle").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count("*").alias("u"))
+    c = F.col("n") - F.coalesce("u", F.lit(0))
+    return some.join(alone, "node", "left").where(100 * c >= percent * F.col("n")).select("node", ((100 + percent) * c >= 2 * percent * F.col("n")).alias("heavy"))
+
+
 def _confirm(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,10 +278,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
             pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
             more = _confirmed(pairs, sets, percent)
         else:
-            blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-            spread = members.join(mixed.select("tok", blocks.alias("blocks")), "tok").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            # block pair (i, j), i <= j; side 0: both blocks are the same, 1: block i, 2: block j
-            met = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "comp", "tok", F.xxhash64("tok", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.expr("case when own = other then 0 when own < other then 1 else 2 end").alias("side"))
+            apart = members.join(mixed.select("tok"), "tok")
+            some = apart.select("node").distinct().join(cands.select("node", "n"), "node")
+            able = core.cut(_heavy(some, sets, percent))
+            apart = apart.join(able, "node")
+            blocks = lambda c: F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("int")
+            sizes = apart.groupBy("tok").agg(blocks(F.col("heavy")).alias("heavies"), blocks(~F.col("heavy")).alias("lights")).where("heavies > 0")
+            spread = apart.join(sizes, "tok").withColumn("own", F.expr("pmod(xxhash64(node), case when heavy then heavies else lights end)").cast("int"))
+            # (light, a, b): heavy blocks a <= b, or heavy block a and light block b
+            # side 0: both blocks are the same, 1: block a, 2: block b
+            upto = lambda n: f"case when {n} > 0 then sequence(0, {n} - 1) else cast(array() as array<int>) end"
+            meets = F.expr(f"""case when heavy then concat(
+                transform({upto('heavies')}, x -> named_struct('light', false, 'a', least(own, x), 'b', greatest(own, x), 'side', case when own = x then 0 when own < x then 1 else 2 end)),
+                transform({upto('lights')}, x -> named_struct('light', true, 'a', own, 'b', x, 'side', 1)))
+                else transform({upto('heavies')}, x -> named_struct('light', true, 'a', x, 'b', own, 'side', 2)) end""")
+            met = spread.withColumn("at", F.explode(meets)).select("node", "comp", "tok", F.xxhash64("tok", "at.light", "at.a", "at.b").alias("g"), F.col("at.side").alias("side"))
             brief = met.join(cands.select("node", "n", F.col("brief").alias("sig"), "toks"), "node").select("g", "tok", "side", "node", "comp", "n", "sig", "toks")
             # the full sets travel only to where a node has a candidate
             some = brief.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(_merge(m, need, percent, False), brief.schema)

@@ -138,6 +138,33 @@ def test_near_duplicates_in_drifting_groups(spark, monkeypatch):
     assert got == dict(enumerate(odd.groups(texts, 4, 80)))
 
 
+def test_pages_of_one_template(spark, monkeypatch):
+    """Pages that share most words and have a text of their own each are not compared in pairs; groups are as by brute force."""
+    rng = random.Random(4)
+    shared, texts = odd.prose(500, 100), []
+    for i in range(150):
+        texts.append(shared + " " + odd.prose(5000 + i, 17 if i % 3 else 40))
+    texts += [shared + " " + odd.prose(7000 + i // 4, 17) + (" end" if i % 4 else "") for i in range(40)]
+    texts += [shared, shared + " one more", " ".join(shared.split()[:85])]
+    rng.shuffle(texts)
+    rows = [(i, t, *odd.REST) for i, t in enumerate(texts)]
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(odd.frame(spark, rows), 4).collect()}
+    assert got == dict(enumerate(odd.groups(texts, 4, 80)))
+
+
+def test_only_possible_links_are_heavy(spark):
+    """No link has two light ends, and none has an end that is left out."""
+    rng = random.Random(8)
+    sets = {i: frozenset(rng.sample(range(40), rng.randrange(20, 40))) | {1000 + 50 * i + k for k in range(rng.randrange(0, 9))} for i in range(60)}
+    held = spark.createDataFrame([(i, np.array(sorted(x), np.int64).tobytes()) for i, x in sets.items()], "node bigint, shingles binary")
+    some = spark.createDataFrame([(i, len(x)) for i, x in sets.items()], "node bigint, n bigint")
+    heavy = {r["node"]: r["heavy"] for r in near_dedup._heavy(some, held, 80).collect()}
+    links = [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert links and all(a in heavy and b in heavy and (heavy[a] or heavy[b]) for a, b in links)
+    assert not all(heavy.values())
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1080)]
