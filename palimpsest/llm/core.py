@@ -300,17 +300,56 @@ def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 # ---------------------------------------------------------------- connected components
 
+#: Edges (16 bytes each) that are joined up at a time, and partitions that one task reads them from.
+EDGE_BLOCK, MERGED = 500_000, 8
+
+
+def _stars(pairs: np.ndarray) -> pa.RecordBatch:
+    """Union-find over a block of edges: an edge from each node to the smallest of its component there."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    parent = list(range(len(nodes)))  # nodes are sorted, so the smallest number is the smallest node
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in at.reshape(-1, 2).tolist():
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    roots = np.array([find(x) for x in range(len(nodes))])
+    own = roots != np.arange(len(nodes))
+    return batch_of(u=pa.array(nodes[own]), v=pa.array(nodes[roots[own]]))
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = Block(2, EDGE_BLOCK)
+    for b in batches:
+        if b.num_rows and block.add(b.column("u").to_numpy(), b.column("v").to_numpy()):
+            yield _stars(np.stack(block.take(), 1))
+    if block.rows:
+        yield _stars(np.stack(block.take(), 1))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the undirected edges (a, b), component the smallest node reachable.
 
-    Rounds of large-star and small-star steps, whatever the number of edges: minima are pre-aggregated before the shuffle and
-    joined back by key, so a node with very many neighbours costs rows in proportion to them, and a skewed join splits it.
-    Every round is written to the shared folder, and the round before deleted. Nothing but whether it is done reaches the
-    driver.
+    Rounds, the same whatever the number of edges. Each first joins up the edges block by block where they are, a block of
+    ``EDGE_BLOCK`` edges at a time, which leaves fewer edges than nodes a block and needs no shuffle. Then, unless every node
+    has one edge to a root, a large-star and a small-star step connect the blocks: minima are pre-aggregated before the
+    shuffle and joined back by key, so a node with very many neighbours costs rows in proportion to them, and a skewed join
+    splits it. Every round is written to the shared folder, and the one before deleted. Nothing but whether it is done reaches
+    the driver.
     """
     spark = edges.sparkSession
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
     for _ in range(max_rounds):
+        some = max(1, now.rdd.getNumPartitions() // MERGED)
+        flat = cut(now.coalesce(some).mapInArrow(_joined_up, "u bigint, v bigint"))
+        drop_scratch(spark, now)
+        now = flat
         # done when every node has edges to one smaller node, a root, at most
         ends = now.select(F.col("u").alias("x"), "v").unionByName(now.select(F.col("v").alias("x"), F.lit(None).cast("bigint").alias("v")))
         state = ends.groupBy("x").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max(F.col("v").isNull()).alias("above"))

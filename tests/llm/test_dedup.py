@@ -122,7 +122,8 @@ def test_near_duplicates_match_brute_force(spark, size, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_near_duplicates_in_drifting_groups(spark, monkeypatch):
+@pytest.mark.parametrize("block", [5, 500_000])
+def test_near_duplicates_in_drifting_groups(spark, monkeypatch, block):
     """Chains of edits, whose ends are far apart, in one large group, over several blocks."""
     rng = random.Random(1)
     texts = []
@@ -133,6 +134,7 @@ def test_near_duplicates_in_drifting_groups(spark, monkeypatch):
                 w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
             texts.append(" ".join(w))
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(core, "EDGE_BLOCK", block)
     rows = [(i, t, *odd.REST) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(odd.frame(spark, rows), 4).collect()}
     assert got == dict(enumerate(odd.groups(texts, 4, 80)))
@@ -165,7 +167,10 @@ def test_only_possible_links_are_heavy(spark):
     assert not all(heavy.values())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [3, 500_000])
+def test_components(spark, monkeypatch, block):
+    """Blocks of three edges, which take many rounds, and one block."""
+    monkeypatch.setattr(core, "EDGE_BLOCK", block)
     rng = random.Random(2)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1080)]
     parent = {x: x for p in pairs for x in p}
