@@ -9,7 +9,8 @@ Method. Each rule below votes 1 (good), 0 (bad) or abstains, by limits on those
 family look for the same defect in different ways, so that they overlap and may disagree. Texts are good or bad by one of
 the defects: a latent class a family, besides the good one. Expectation-maximisation on the counts of vote patterns
 estimates the share of each class and how often each rule votes for and against in it, abstentions left out. The
-probability of the good class is the posterior; kept is posterior >= 0.5 and not base_failed. So no vote decides by itself:
+probability of the good class is the posterior; kept is posterior >= ``KEEP`` and not base_failed, so that texts on which EM is
+unsure stay. No vote decides by itself:
 a vote against that other rules of its family contradict is outvoted if EM finds that rule to raise false alarms, and
 counts if it finds it reliable.
 
@@ -58,6 +59,8 @@ FAMILIES = tuple(dict.fromkeys(r[0] for r in RULES))
 #: Where EM starts: in good texts a rule votes for in 8 of 10 votes; in texts with a defect the rules of its family vote
 #: against as often, the others for and against alike; 7 texts of 10 are good.
 RIGHT, GOOD = 0.8, 0.7
+#: A text goes where it has a defect with more than the rest of this probability.
+KEEP = 0.1
 
 
 def figures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
@@ -177,7 +180,7 @@ FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
 def _judged(made: DataFrame) -> DataFrame:
-    return made.join(F.broadcast(_posteriors(made)), "votes").withColumn("kept", (F.col("posterior") >= 0.5) & ~F.col("base_failed"))
+    return made.join(F.broadcast(_posteriors(made)), "votes").withColumn("kept", (F.col("posterior") >= KEEP) & ~F.col("base_failed"))
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def test_verdict_matches_brute_force(spark, small):
     assert set(got) == set(want)
     for i, r in got.items():
         assert abs(r["posterior"] - want[i]) < 0.01
-        assert r["kept"] == (want[i] >= 0.5 and not r["base_failed"])
+        assert r["kept"] == (want[i] >= quality_rules.KEEP and not r["base_failed"])
 
 
 def test_verdict_is_not_all_must_pass():
