@@ -98,18 +98,29 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seg: int =
     return out
 
 
-_table: list = []
+class _Powers:
+    """Powers of an odd base modulo 2**64, and of its inverse: made where they are needed.
 
+    Worker code is pickled by value with what it refers to; the tables (16 MB) do not go along.
+    """
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    if not _table or len(_table[0]) < n:
-        size = max(n, 1_000_256)
-        power, inverse = np.full(size, _BASE, U64), np.full(size, pow(_BASE, -1, 2**64), U64)
-        power[0] = inverse[0] = 1
-        with np.errstate(over="ignore"):
-            _table[:] = [np.cumprod(power, dtype=U64), np.cumprod(inverse, dtype=U64)]
-    return _table[0], _table[1]
+    def __init__(self) -> None:
+        self.tables: tuple[np.ndarray, ...] = ()
+
+    def __reduce__(self) -> tuple:
+        return _Powers, ()
+
+    def __call__(self, n: int) -> tuple[np.ndarray, ...]:
+        if not self.tables or len(self.tables[0]) < n:
+            size = max(n, 1_000_256)
+            power, inverse = np.full(size, _BASE, U64), np.full(size, pow(_BASE, -1, 2**64), U64)
+            power[0] = inverse[0] = 1
+            with np.errstate(over="ignore"):
+                self.tables = (np.cumprod(power, dtype=U64), np.cumprod(inverse, dtype=U64))
+        return self.tables
+
+
+_powers = _Powers()
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:

@@ -7,7 +7,7 @@ import odd
 import pyarrow as pa
 import pytest
 
-from palimpsest.llm import core, line_dedup, near_dedup, substring_dedup
+from palimpsest.llm import core, decontaminate, line_dedup, near_dedup, quality_rules, substring_dedup, toxicity
 
 
 def test_words_and_hashes_follow_bytes():
@@ -189,3 +189,14 @@ def test_components(spark, monkeypatch, block):
 @pytest.mark.parametrize("operator", [substring_dedup.remove_repeats, line_dedup.dedup_lines, near_dedup.near_duplicates])
 def test_empty_tables(spark, operator):
     assert operator(odd.frame(spark, [])).collect() == []
+
+
+def test_worker_code_is_small_when_pickled():
+    """Tables that hashing makes on the driver do not go along with functions pickled by value."""
+    from pyspark import cloudpickle
+
+    buf, at, to = np.frombuffer(b"ab cd ab", np.uint8), np.array([0, 3, 6]), np.array([2, 5, 8])
+    here = core.hash_spans(buf, at, to)
+    for f in (core.hash_spans, quality_rules._figures(), decontaminate._item_windows(8), toxicity._encode(20)):
+        assert len(cloudpickle.dumps(f)) < 500_000
+    assert (cloudpickle.loads(cloudpickle.dumps(core.hash_spans))(buf, at, to) == here).all()
