@@ -1,7 +1,7 @@
 """Line deduplication by overlapping windows of consecutive lines.
 
 The lines of a text are its \\n-split parts that hold a word; blank lines belong to no window and stay. A window is
-``width`` (three) consecutive such lines, compared byte for byte by a 64-bit hash. The first occurrence of a window in the
+``width`` (three) consecutive such lines, compared by two independent 64-bit hashes of their bytes. The first occurrence of a window in the
 corpus, by doc_id (null last) and place, stays; every line that a later one covers goes, overlapping windows merged. An equal
 line stays at an earlier place. Ids that are no integers are put in the order of their 64-bit hashes.
 
@@ -28,7 +28,7 @@ from palimpsest.llm import core
 
 BLOCK = 2_000_000
 LAST = np.iinfo(np.int64).max
-POSTED = "h bigint, ord bigint, key bigint, p int, sure array<int>"
+POSTED = "h bigint, h2 bigint, ord bigint, key bigint, p int, sure array<int>"
 
 
 def _worded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -41,10 +41,10 @@ def _worded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 def _post(block: core.Block) -> Iterator[pa.RecordBatch]:
     if not block.rows:
         return
-    h, ords, key, p = block.take()
-    order = np.lexsort((p, key, ords, h))
-    h, ords, key, p = h[order], ords[order], key[order], p[order]
-    first = np.append(True, h[1:] != h[:-1])
+    h, h2, ords, key, p = block.take()
+    order = np.lexsort((p, key, ords, h2, h))
+    h, h2, ords, key, p = h[order], h2[order], ords[order], key[order], p[order]
+    first = np.append(True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]))
     # the same row met again counts as the same place
     at = np.flatnonzero(first)
     run = np.cumsum(first) - 1
@@ -52,7 +52,7 @@ def _post(block: core.Block) -> Iterator[pa.RecordBatch]:
     later = ~same
     for a in range(0, len(at), 100_000):
         i = at[a : a + 100_000]
-        yield core.batch_of(h=pa.array(core.i64(h[i])), ord=pa.array(ords[i]), key=pa.array(key[i]), p=pa.array(p[i].astype(np.int32)), sure=pa.nulls(len(i), pa.list_(pa.int32())))
+        yield core.batch_of(h=pa.array(core.i64(h[i])), h2=pa.array(core.i64(h2[i])), ord=pa.array(ords[i]), key=pa.array(key[i]), p=pa.array(p[i].astype(np.int32)), sure=pa.nulls(len(i), pa.list_(pa.int32())))
     if later.any():
         key, p = key[later], p[later]
         order = np.lexsort((p, key))
@@ -64,12 +64,20 @@ def _post(block: core.Block) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(at), 2000):
             lo, m = at[a], n[a : a + 2000]
             k = key[at[a : a + 2000]]
-            yield core.batch_of(h=pa.array(core.i64(core.mix(k.view(np.uint64) ^ np.uint64(0x5BD1E995)))), ord=pa.array(np.full(len(k), LAST)), key=pa.array(k), p=pa.array(np.full(len(k), -2, np.int32)), sure=core.list_array(p[lo : lo + m.sum()].astype(np.int32), m, pa.int32()))
+            yield core.batch_of(h=pa.array(core.i64(core.mix(k.view(np.uint64) ^ np.uint64(0x5BD1E995)))), h2=pa.array(np.zeros(len(k), np.int64)), ord=pa.array(np.full(len(k), LAST)), key=pa.array(k), p=pa.array(np.full(len(k), -2, np.int32)), sure=core.list_array(p[lo : lo + m.sum()].astype(np.int32), m, pa.int32()))
+
+
+def _second(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span that has nothing in common with ``core.hash_spans``."""
+    import xxhash
+
+    data = buf.tobytes()
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
 
 
 def _windows(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = core.Block(4, BLOCK)
+        block = core.Block(5, BLOCK)
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             ords = batch.column("ord").to_numpy(zero_copy_only=False)
@@ -79,9 +87,10 @@ def _windows(width: int) -> Callable:
                 total = np.append(0, np.cumsum(on))
                 at = total[np.append(0, np.cumsum(n))]
                 g = core.windows(core.hash_spans(buf, s[on], e[on]), width)
+                g2 = core.windows(_second(buf, s[on], e[on]), width)
                 n = np.maximum(np.diff(at) - width + 1, 0)
                 idx, p = core.ranges(at[:-1], n), core.ranges(np.zeros(len(n), np.int64), n)
-                if block.add(g[idx], np.repeat(ords[lo:hi], n), np.repeat(keys[lo:hi], n), p):
+                if block.add(g[idx], g2[idx], np.repeat(ords[lo:hi], n), np.repeat(keys[lo:hi], n), p):
                     yield from _post(block)
         yield from _post(block)
 
@@ -133,7 +142,7 @@ def dedup_lines(docs: DataFrame, width: int = 3, counts: bool = True) -> DataFra
     number = F.col("doc_id").cast("bigint") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
     slim = core.bounded_batches(docs).select(core.text_key().alias("key"), F.coalesce(number, F.lit(int(LAST))).alias("ord"), "text")
     posted = slim.mapInArrow(_windows(width), POSTED)
-    group = Window.partitionBy("h")
+    group = Window.partitionBy("h", "h2")
     place = F.struct("ord", "key", "p")
     judged = posted.withColumn("first", F.min(place).over(group)).withColumn("is_first", place == F.col("first"))
     later = F.concat(F.collect_set(F.expr("case when sure is null and not is_first then p end")), F.flatten(F.collect_list("sure"))).alias("later")

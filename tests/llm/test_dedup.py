@@ -74,6 +74,22 @@ def test_lines_match_brute_force(spark, monkeypatch):
         assert got == want
 
 
+@pytest.mark.parametrize("name", ["hash_spans", "_second"])
+def test_lines_survive_equal_hashes_of_other_windows(spark, monkeypatch, name):
+    """One of the two hashes may fail, even wholly: no line goes by it alone."""
+    hash_of = lambda buf, s, e: np.zeros(len(s), np.uint64)
+    rows = [r for r in odd.documents() if r[0] is not None and r[1] is not None and r[0] not in (1, 7)]
+    monkeypatch.setattr(core if name == "hash_spans" else line_dedup, name, hash_of)
+    for block in (2_000_000, 2):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(odd.frame(spark, rows)).collect()}
+        assert got == odd.deduped_lines([(r[0], r[1]) for r in rows], 3)
+    monkeypatch.setattr(line_dedup, "_second", hash_of)
+    monkeypatch.setattr(core, "hash_spans", hash_of)
+    both = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(odd.frame(spark, rows)).collect()}
+    assert sum(both.values()) > sum(r[1] for r in got.values())  # the patches do reach the workers
+
+
 def test_every_line_under_a_later_window_goes(spark, monkeypatch):
     """A passage goes from the first document of a group of copies too, and so does the pipeline's stage."""
     import corpus_pipeline
